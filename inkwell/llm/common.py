@@ -89,6 +89,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def ordered(spans: F.Column) -> F.Column:
+    """Spans (start, stop, kind) by start, then by kind as listed."""
+    way = lambda x, y: F.when(x < y, -1).when(x > y, 1)
+    return F.array_sort(spans, lambda a, b: F.coalesce(way(a.start, b.start), way(a.kind, b.kind), way(a.stop, b.stop), F.lit(0)))
+
+
+def written(spans: F.Column | str, kinds: tuple[str, ...]) -> F.Column:
+    """kind:start:stop of each span, joined by commas."""
+    names = F.array(*map(F.lit, kinds))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.stop.cast("string"))), ",")
+
+
 def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of the edges (a, b): component is the smallest node that links reach.
 

@@ -1,7 +1,7 @@
 """The queries of this subpackage, and SQL for those that SQL can express on whole tables."""
 
-from inkwell.llm import bpe, language, secrets, token_file, toxicity
+from inkwell.llm import bpe, language, pii, secrets, token_file, toxicity
 
-MODULES = (bpe, language, secrets, token_file, toxicity)
+MODULES = (bpe, language, pii, secrets, token_file, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in getattr(module, "SQL", {}).items()}

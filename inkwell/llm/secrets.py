@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_pass, materialise, record, table, texts
+from inkwell.llm.common import arrow_pass, materialise, ordered, record, table, texts, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 #: The same names in lower case; a text that lacks them all holds no assignment.
@@ -132,12 +132,6 @@ def link(found: DataFrame) -> DataFrame:
     return scoped.where(complete).groupBy("row").agg(F.collect_list(F.struct("start", "stop", "kind")).alias("added"))
 
 
-def ordered(spans: F.Column) -> F.Column:
-    """By start, then by kind as listed."""
-    way = lambda x, y: F.when(x < y, -1).when(x > y, 1)
-    return F.array_sort(spans, lambda a, b: F.coalesce(way(a.start, b.start), way(a.kind, b.kind), way(a.stop, b.stop), F.lit(0)))
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (base and added, by start and kind) of every row."""
     found = materialise(find_parts(docs), "secret-parts")
@@ -145,19 +139,14 @@ def scan(docs: DataFrame) -> DataFrame:
     return found.join(link(found), "row", "left").select("doc_id", "base", ordered(spans).alias("spans"))
 
 
-def written(spans: str) -> F.Column:
-    names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.stop.cast("string"))), ",")
-
-
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
     return found.select(
         "doc_id",
         *(count(k).alias(f"n_{name}") for k, name in enumerate(BASE)),
-        F.sha2(written("base"), 256).alias("base_sha256"),
-        written("spans").alias("spans"),
+        F.sha2(written("base", KINDS), 256).alias("base_sha256"),
+        written("spans", KINDS).alias("spans"),
     )
 
 
