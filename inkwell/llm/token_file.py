@@ -13,6 +13,7 @@ checksum; a null doc_id comes first; an empty table makes an empty file set.
 from __future__ import annotations
 
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,14 @@ SHARD_IDS = 4_000_000
 BLOCK_IDS = 256_000
 CHECKPOINT_IDS = 64
 #: Entries that a worker's memories of chunks and of words hold at most; then they start anew.
-CHUNKS, WORDS, LONG_CHUNK = 250_000, 400_000, 200
+CHUNKS, WORDS = 250_000, 400_000
 #: A text of these characters only is lower-cased and split here as the tokenizer would; others go through the whole of it.
+END_MARKS = (".", ",")
 PLAIN = "\t\n\r\x20-\x7e\xa1-\xac\xae-\xffŒœ"
 
 
 class Encoder:
-    """The tokenizers library's ids of texts, as little-endian unsigned 32-bit integers.
+    """The tokenizers library's ids of texts, as little-endian unsigned integers of 16 bits where all ids fit, else of 32.
 
     No token crosses white space in this tokenizer, so chunks between spaces are encoded once and remembered; the
     words of a new plain chunk go straight to the library's model.
@@ -63,39 +65,43 @@ class Encoder:
         self.odd = regex.compile(f"[^{PLAIN}]").search
         self.letters = dict(enumerate(byte_letters()))
         self.model = self.tokenizer.model
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
     def word(self, w: str) -> bytes:
         found = self.words.get(w)
         if found is None:
             if len(self.words) >= WORDS:
                 self.words.clear()
-            mapped = w.encode().decode("latin-1").translate(self.letters)
-            found = self.words[w] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+            found = self.words[w] = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return found
 
     def chunk(self, c: str) -> bytes:
+        if c.isascii():
+            if c.isalpha():
+                return self.word(c.lower())
+            if c[-1:] in END_MARKS and c[:-1].isalpha():
+                return self.word(c[:-1].lower()) + self.word(c[-1])
         return self.whole(c) if self.odd(c) else b"".join(map(self.word, self.words_of(c.lower())))
 
     def encode(self, text: str) -> bytes:
         chunks = self.chunks
         parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(chunks.__getitem__, parts))
-        except KeyError:
-            for c in parts:
-                if c not in chunks:
-                    if len(c) > LONG_CHUNK:
-                        return b"".join([self.chunk(c) for c in parts])
-                    if len(chunks) >= CHUNKS:
-                        chunks.clear()
-                        return b"".join([self.chunk(c) for c in parts])
-                    chunks[c] = self.chunk(c)
-            return b"".join(map(chunks.__getitem__, parts))
+        new = set(parts).difference(chunks)
+        if new:
+            if len(chunks) + len(new) > CHUNKS:
+                chunks.clear()
+                new = set(parts)
+            of = self.chunk
+            for c in new:
+                chunks[c] = of(c)
+        return b"".join(map(chunks.__getitem__, parts))
 
 
 _ENCODERS: dict[str | None, Encoder] = {}
@@ -109,19 +115,19 @@ def encoder(path: str | None) -> Encoder:
 
 
 def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers), the end id included unless it is None."""
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    """doc_id and ids (little-endian unsigned integers of ``width`` bytes), the end id included unless it is None."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("width", pa.int32())])
 
     def make():
-        of = encoder(tokenizer).encode
+        coder = encoder(tokenizer)
+        end = b"" if end_id is None else np.array([end_id], f"<u{coder.width}").tobytes()
 
         def one(batch):
-            yield record(schema, doc_id=batch.column("doc_id"), ids=[of(t) + end for t in texts(batch)])
+            yield record(schema, doc_id=batch.column("doc_id"), ids=[coder.encode(t) + end for t in texts(batch)], width=[coder.width] * batch.num_rows)
 
         return one
 
-    return arrow_pass(docs.select("doc_id", "text"), make, "doc_id long, ids binary")
+    return arrow_pass(docs.select("doc_id", "text"), make, "doc_id long, ids binary, width int")
 
 
 def count_ids(coded: DataFrame) -> DataFrame:
@@ -132,11 +138,10 @@ def count_ids(coded: DataFrame) -> DataFrame:
         total = [np.zeros(0, np.int64)]
 
         def one(batch):
-            for raw in batch.column("ids").to_pylist():
-                if raw:
-                    c = np.bincount(np.frombuffer(raw, "<u4"), minlength=len(total[0]))
-                    c[: len(total[0])] += total[0]
-                    total[0] = c
+            width = batch.column("width")[0].as_py()
+            c = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{width}"), minlength=len(total[0]))
+            c[: len(total[0])] += total[0]
+            total[0] = c
             return ()
 
         def finish():
@@ -146,7 +151,7 @@ def count_ids(coded: DataFrame) -> DataFrame:
         one.finish = finish
         return one
 
-    return arrow_pass(coded.select("ids"), make, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return arrow_pass(coded.select("ids", "width"), make, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def limited_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -248,20 +253,20 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     codes = canonical_codes(lengths)
     spark.createDataFrame([(int(k), int(lengths[k])) for k in np.flatnonzero(lengths)], "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
     shards = max(1, -(-int(counts.sum()) // SHARD_IDS))
-    ordered = coded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    ordered = coded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", "width")
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("checkpoints", pa.binary()), ("payload", pa.binary())])
 
     def make():
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        state = {"block": 0, "start": 0}
+        state = {"block": 0, "start": 0, "width": 4}
         keys, raws, held = [], [], [0]
 
         def emit():
-            ids = np.frombuffer(b"".join(raws), "<u4")
+            ids = np.frombuffer(b"".join(raws), f"<u{state['width']}")
             payload, checkpoints = pack(ids, lengths, codes)
-            yield record(schema, shard=[shard], block=[state["block"]], start=[state["start"]], n_ids=[len(ids)], doc_ids=[keys[:]], sizes=[[len(r) // 4 for r in raws]], checkpoints=[checkpoints.astype("<u8").tobytes()], payload=[payload])
+            yield record(schema, shard=[shard], block=[state["block"]], start=[state["start"]], n_ids=[len(ids)], doc_ids=[keys[:]], sizes=[[len(r) // state["width"] for r in raws]], checkpoints=[checkpoints.astype("<u8").tobytes()], payload=[payload])
             state["block"] += 1
             state["start"] += len(ids)
             keys.clear()
@@ -269,10 +274,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             held[0] = 0
 
         def one(batch):
+            state["width"] = batch.column("width")[0].as_py()
             for key, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 keys.append(key)
                 raws.append(raw)
-                held[0] += len(raw) // 4
+                held[0] += len(raw) // state["width"]
                 if held[0] >= BLOCK_IDS:
                     yield from emit()
 
