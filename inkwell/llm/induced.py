@@ -10,7 +10,7 @@ def string_minima(contexts: np.ndarray, owners: np.ndarray, length: int) -> np.n
     n, width = contexts.shape
     starts = width - length + 1
     windows = np.lib.stride_tricks.sliding_window_view(contexts, length, axis=1).reshape(n * starts, length)
-    flat = np.ascontiguousarray(windows.astype(">u2")).view(f"V{2 * length}").ravel()
+    flat = np.ascontiguousarray(windows).view(f"V{length}").ravel()
     _, where = np.unique(flat, return_inverse=True)
     low = np.full(where.max(initial=0) + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, where, np.repeat(owners, starts))

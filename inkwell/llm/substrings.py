@@ -35,6 +35,10 @@ STARTS = LENGTH - KEY + 1
 CONTEXT = LENGTH + STARTS - 1
 PACKET, BUCKET_ENTRIES = 2 << 20, 1 << 20
 FILTER_BITS = 1 << 27
+#: A byte that UTF-8 never has.
+OUTSIDE = 0xFF
+#: Buckets of contexts for each bucket of hashes.
+FINER = 32
 NOBODY = np.iinfo(np.int64).max
 POWER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,16 +85,9 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def contexts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of CONTEXT bytes around each anchor; 0x100 stands for what lies outside of the document."""
-    framed = np.full(len(raw) + 2 * CONTEXT, 0x100, np.uint16)
-    framed[CONTEXT : CONTEXT + len(raw)] = raw
-    return framed[(at + CONTEXT - (STARTS - 1))[:, None] + np.arange(CONTEXT)]
-
-
 def context_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of each context, from a rolling one."""
-    framed = np.full(len(raw) + 2 * CONTEXT, 0x100, np.uint16)
+    framed = np.full(len(raw) + 2 * CONTEXT, OUTSIDE, np.uint8)
     framed[CONTEXT : CONTEXT + len(raw)] = raw
     return mix64(rolling(framed, CONTEXT)[at + CONTEXT - (STARTS - 1)] ^ np.uint64(0x5851F42D4C957F2D))
 
@@ -270,10 +267,14 @@ class Packet:
 
     def bytes_of(self, pairs: np.ndarray) -> np.ndarray:
         """The contexts of these pairs."""
-        out = np.zeros((len(pairs), CONTEXT), np.uint16)
-        for k, occurrence in enumerate(self.sample[pairs]):
+        out = np.full((len(pairs), CONTEXT), OUTSIDE, np.uint8)
+        for part in range(0, len(pairs), 20_000):
+            occurrence = self.sample[pairs[part : part + 20_000]]
             d = self.doc[occurrence]
-            out[k] = contexts(self.raw(d), self.at[occurrence : occurrence + 1])[0]
+            place = (self.at[occurrence] - (STARTS - 1))[:, None] + np.arange(CONTEXT)
+            inside = (place >= 0) & (place < self.sizes[d][:, None])
+            rows = out[part : part + 20_000]
+            rows[inside] = self.body[(place + self.starts[d][:, None])[inside]]
         return out
 
 
@@ -333,7 +334,7 @@ def second_answers(found: DataFrame, answers: DataFrame, buckets: int) -> DataFr
             p = Packet(row)
             got = one_table(answered)
             several = np.flatnonzero(gathered(got, len(p.pair_h), "several", np.uint8))
-            for b, chosen in by_bucket(p.pair_h[several], buckets):
+            for b, chosen in by_bucket(p.pair_h[several], buckets * FINER):
                 part = several[chosen]
                 out.append(record(sent, bucket=[b], packet=[row["packet"]], pairs=[part.astype(np.int32).tobytes()], context=[p.bytes_of(part).tobytes()], least=[p.least[part].tobytes()]))
         return pa.Table.from_batches(out, sent)
@@ -346,9 +347,13 @@ def second_answers(found: DataFrame, answers: DataFrame, buckets: int) -> DataFr
 
         cols = one_table(group)
         size = [len(x) // 8 for x in cols["least"]]
-        bytes_ = np.concatenate([np.frombuffer(x, np.uint16).reshape(-1, CONTEXT) for x in cols["context"]])
+        bytes_ = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, CONTEXT) for x in cols["context"]])
         least = np.concatenate([np.frombuffer(x, np.int64) for x in cols["least"]])
-        low = string_minima(bytes_, least, LENGTH)
+        key = np.ascontiguousarray(bytes_).view(f"V{CONTEXT}").ravel()
+        _, one, same = np.unique(key, return_index=True, return_inverse=True)
+        owner = np.full(len(one), NOBODY)
+        np.minimum.at(owner, same, least)
+        low = string_minima(bytes_[one], owner, LENGTH)[same]
         ends = np.cumsum(size)
         return pa.Table.from_batches([record(answer, packet=cols["packet"], pairs=cols["pairs"], strings=[low[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)])])
 
