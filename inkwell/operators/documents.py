@@ -89,7 +89,7 @@ def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 
 def encoded_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """word counts of each document, and each distinct word's tokens under every arm: encoded once, joined back."""
-    rules = spark.sql(f"WITH {merged(SparkDialect(sf_dir))} SELECT l, r, rank_c, rank_d, is_added FROM arm_d").collect()  # bounded by the vocabulary
+    rules = spark.sql(f"WITH {merged(SparkDialect(sf_dir, spark))} SELECT l, r, rank_c, rank_d, is_added FROM arm_d").collect()  # bounded by the vocabulary
     ranks = {"A": {(x.l, x.r): x.rank_c for x in rules if not x.is_added}, "C": {(x.l, x.r): x.rank_c for x in rules}, "D": {(x.l, x.r): x.rank_d for x in rules}}
     ranks["E"] = {(x.l, x.r): x.rank_d for x in rules if not x.is_added}
     shared = spark.sparkContext.broadcast(ranks)

@@ -84,7 +84,7 @@ def holdout_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     Months depend on earlier ones only through how much of each journal is taken, so the driver keeps the selected
     rows, MONTH_QUOTA a month, and each month's pool is reduced by windows and a top-k in Spark.
     """
-    pool = spark.sql(f"WITH {pooled(SparkDialect(sf_dir))} SELECT * FROM pool")
+    pool = spark.sql(f"WITH {pooled(SparkDialect(sf_dir, spark))} SELECT * FROM pool")
     schema = "doc_id long, pmcid string, month long, journal string, selection_order long"
     taken: list[tuple] = []
     for m in range(1, 13):

@@ -13,7 +13,7 @@ STATEMENTS = {f.__name__: f for module in (text, selection, audit, stats, tokens
 
 
 def _query(statement: Callable[[Dialect], str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: spark.sql(statement(SparkDialect(sf_dir)))
+    return lambda spark, sf_dir: spark.sql(statement(SparkDialect(sf_dir, spark)))
 
 
 QUERIES = {name: _query(f) for name, f in STATEMENTS.items()} | {"holdout_selection": selection.holdout_selection} | {f.__name__: f for f in documents.QUERIES}

@@ -50,7 +50,8 @@ def test_statistics():
     assert sign_p(101, 11) == pytest.approx(2.2625e-19, rel=1e-3)
     assert sign_p(0, 0) == 1
     assert type_7([1, 2, 3, 4], 0.25) == 1.75
-    values = [random.Random(3).gauss(0, 1) for _ in range(50)]
+    draw = random.Random(3)
+    values = [draw.gauss(0, 1) for _ in range(50)]
     low, high = bootstrap_interval(values, random.Random(5), 500)
     assert low < sum(values) / 50 < high
     assert sorted(seeded_permutation(10, 42)) == list(range(10)) and seeded_permutation(10, 42) == seeded_permutation(10, 42)
