@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import arrow_pass, components, discard, materialise, mix64, record, table, texts
+from inkwell.llm.common import arrow_pass, components, discard, materialise, mix64, record, release, table, texts
 
 WORDS, PERCENT = 4, 85
 #: Buckets of the estimate of common shingles; rows of one task that make a bucket common; both bound what is sent out.
@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 def prefix_rows(groups: DataFrame) -> DataFrame:
     """A row for each prefix shingle of each group that another group shares."""
-    schema = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("n", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def make():
         def one(batch):
@@ -136,20 +136,20 @@ def prefix_rows(groups: DataFrame) -> DataFrame:
                 schema,
                 token=np.frombuffer(b"".join(raw), "<i8"),
                 gid=np.repeat(batch.column("gid").to_numpy(), size),
-                n=np.repeat(batch.column("n").to_numpy(), size),
+                n=np.repeat(batch.column("n").to_numpy(), size).astype(np.int32),
                 pos=(np.arange(size.sum()) - first).astype(np.int32),
             )
 
         return one
 
-    rows = arrow_pass(groups, make, "token long, gid long, n long, pos int")
+    rows = arrow_pass(groups, make, "token long, gid long, n int, pos int")
     shared = rows.withColumn("sharers", F.count("*").over(Window.partitionBy("token"))).where("sharers > 1").drop("sharers")
     return materialise(shared, "jaccard-shared")
 
 
 def alike(a: str, b: str, percent: int) -> F.Column:
     """Whether sizes and places of a shared shingle leave room for a similarity of percent."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    na, nb = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
     left = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (left * (100 + percent) >= (na + nb) * percent)
 
@@ -165,6 +165,17 @@ def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
+def packed(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, 6 bytes each: sets of one pair hold no two alike but by a chance of 1e-9."""
+    return np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view("<u2").reshape(-1, 4)[:, :3]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 4), "<u2")
+    out[:, :3] = np.frombuffer(raw, "<u2").reshape(-1, 3)
+    return out.view("<u8").ravel()
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """node and its sorted shingles, of all ids (and of a few more, which the bitmap lets pass)."""
     bitmap, bits = id_filter(ids)
@@ -178,7 +189,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             keep = np.flatnonzero((bitmap[h >> 5] >> (h & 31).astype(np.uint32)) & 1)
             if len(keep):
                 picked = batch.take(pa.array(keep))
-                yield record(schema, node=picked.column("doc_id"), shingles=[shingles(t, memory, words).astype("<u8").tobytes() for t in texts(picked)])
+                yield record(schema, node=picked.column("doc_id"), shingles=[packed(shingles(t, memory, words)) for t in texts(picked)])
 
         return one
 
@@ -188,16 +199,15 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are alike. pairs: distinct, and materialised."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = sets.join(needed, "node", "left_semi")
-    both = pairs.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(held.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    side = lambda x: sets.join(pairs.select(F.col(x).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def make():
         def one(batch):
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                u, v = unpacked(x), unpacked(y)
                 inter = len(u) + len(v) - len(np.union1d(u, v))
                 keep.append(100 * inter >= percent * (len(u) + len(v) - inter) and inter > 0)
             chosen = np.flatnonzero(keep)
@@ -215,22 +225,26 @@ def oriented(x: F.Column, y: F.Column) -> list[F.Column]:
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (set size) and component (smallest doc_id that links reach) of every row; a null doc_id has no component."""
     docs = docs.select("doc_id", "text")
-    signed_rows = signatures(docs, words, percent)
+    signed_full = signatures(docs, words, percent)
+    signed_rows = materialise(signed_full.drop("prefix"), "jaccard-rows")
     whole = signed_rows.where("n > 0 and doc_id is not null")
-    classes = materialise(
-        whole.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "prefix")).alias("m")).select("n", "s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.prefix").alias("prefix"), F.md5("m.prefix").alias("key")),
+    classes_full = materialise(
+        signed_full.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "prefix")).alias("m")).select("n", "s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.prefix").alias("prefix"), F.md5("m.prefix").alias("key")),
         "jaccard-classes",
     )
+    discard(signed_full)
+    release(docs.sparkSession)
+    classes = materialise(classes_full.drop("prefix"), "jaccard-keys")
     heads = classes.groupBy("n", "key").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
     members = materialise(classes.join(heads, ["n", "key"]).select("rep", "gid", "size"), "jaccard-members")
-    # a group's representative carries the prefix for all; classes of one doc_id may be several, hence the distinct
-    groups = classes.join(heads.select("n", "key", "gid"), ["n", "key"]).where("rep = gid").select("gid", "n", "prefix").dropDuplicates(["gid", "n", "prefix"])
+    # a group's representative carries the prefix for all; classes of one doc_id may be several, and each is a carrier
+    carriers = members.where("rep = gid").select("rep").distinct()
+    groups = classes_full.join(carriers, "rep", "left_semi").select(F.col("rep").alias("gid"), "n", "prefix")
     shared = prefix_rows(groups)
+    discard(classes_full)
+    release(docs.sparkSession)
     central = shared.groupBy("gid").agg(F.count("*").alias("known"))
-
     several = members.where("size > 1")
-    wanted = shared.select(F.col("gid").alias("gid")).union(several.select("gid")).distinct()
-    sets = sets_of(docs, members.join(wanted, "gid", "left_semi").select(F.col("rep").alias("node")), words)
 
     # rows of one doc_id with different texts belong together
     repeated = whole.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
@@ -250,7 +264,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             pairs = spread.alias("x").join(hubs.alias("y"), "token").where(alike("x", "y", percent)).where("x.low <> y.low or x.high <> y.high or x.low <> x.high").select(F.col("y.gid").alias("hub"), F.col("x.gid").alias("gid")).distinct()
             pairs = pairs.union(several.select(F.col("gid").alias("hub"), "gid").distinct())
             home = at.select(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")).distinct()
-            proposed = pairs.join(at, "gid").join(home, "hub").where("comp <> hub_comp and rep <> hub").select(*oriented(F.col("hub"), F.col("rep")))
+            proposed = pairs.join(at, "gid").join(home, "hub").where("comp <> hub_comp and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         else:
             live = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("u")).where("l <> u").select("token")
             rest = spread.join(live, "token", "left_semi")
@@ -266,20 +280,44 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             if turn >= HUB_ROUNDS:
                 break
             continue
-        found = materialise(links.union(verify(proposed, sets, percent)), "jaccard-links")
-        links = found
-        comps = components(links, "jaccard")
+        sets = sets_of(docs, proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
+        release(docs.sparkSession)
+        found = verify(proposed, sets, percent).select(*oriented(F.col("a"), F.col("b")))
+        links = materialise(links.union(found), "jaccard-links")
+        discard(sets)
         discard(proposed)
+        release(docs.sparkSession)
+        comps = components(links, "jaccard")
     keyed = signed_rows.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return keyed.select("doc_id", F.col("n"), alone.alias("component"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those of a component that are not its smallest doc_id (one row of it); rows with a null doc_id stay."""
-    drop = join(docs, words, percent).where("component <> doc_id").select("doc_id").distinct()
-    rest = docs.join(materialise(drop, "jaccard-dropped"), "doc_id", "left_anti").select(*docs.columns)
-    return rest
+    """docs without those of a component that are not its smallest doc_id; rows with a null doc_id stay.
+
+    A bitmap of the ids to drop lets most texts stay where they are; only rows that it can't clear go through the join.
+    """
+    drop = materialise(join(docs, words, percent).where("component <> doc_id").select(F.col("doc_id").alias("node")).distinct(), "jaccard-dropped")
+    release(docs.sparkSession)
+    bitmap, bits = id_filter(drop)
+    columns = docs.columns
+    keyed = docs.withColumn("_h", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(bits)), F.lit(0)))
+
+    def part(hit: bool) -> DataFrame:
+        def make():
+            def one(batch):
+                h = batch.column("_h").to_numpy(zero_copy_only=False)
+                keep = np.flatnonzero(((bitmap[h >> 5] >> (h & 31).astype(np.uint32)) & 1) == int(hit))
+                if len(keep):
+                    yield batch.take(pa.array(keep)).select(columns)
+
+            return one
+
+        return arrow_pass(keyed, make, docs.schema)
+
+    rest = part(True).join(drop, F.col("doc_id") == F.col("node"), "left_anti").select(*columns)
+    return part(False).union(rest)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
