@@ -12,6 +12,7 @@ they are named ids or decoded, which the results replace.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Iterable
 from itertools import chain
@@ -24,8 +25,10 @@ from pyspark.sql import types as T
 from inkwell.llm.common import arrow_pass, table, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct pre-tokens that a task remembers at most; beyond it, it starts anew.
-REMEMBERED = 120_000
+#: Distinct pre-tokens, and distinct chunks, that a worker remembers at most; beyond it, it starts anew.
+REMEMBERED, CHUNKS = 400_000, 120_000
+#: A space beside other white space or at an end.
+CROWDED = re.compile(r"^ | $| \s|\s ")
 ROWS_AT_ONCE = 64
 
 
@@ -88,6 +91,7 @@ class Codec:
         self.model.LoadFromSerializedProto(serialise_model(t.decode("latin-1").translate(self.to_letters) for t in self.ordered))
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.memo: dict[str, list[int]] = {}
+        self.chunks: dict[str, list[int]] = {}
 
     def learn(self, pre_tokens: Iterable[str]) -> None:
         """Fills the memo for these pre-tokens."""
@@ -102,27 +106,51 @@ class Codec:
         for (token, _), ids in zip(rest, self.model.encode([x for _, x in rest], out_type=int, num_threads=1), strict=True):
             self.memo[token] = [rank_of[i] for i in ids]
 
+    def pre_tokens(self, texts: Iterable[str]) -> list[list[int]]:
+        """Ids of each text by its pre-tokens."""
+        memo = self.memo
+        found = [self.split(t) for t in texts]
+        if new := set(chain.from_iterable(found)).difference(memo):
+            if len(memo) + len(new) > REMEMBERED:
+                memo.clear()
+                new = set(chain.from_iterable(found))
+            self.learn(new)
+        return [list(chain.from_iterable(map(memo.__getitem__, pre))) for pre in found]
+
     def encode(self, many: list[str]) -> list[list[int]]:
-        memo, out = self.memo, []
+        """A space between two characters that are none begins a pre-token, so the chunks after such spaces are encoded once and remembered."""
+        chunks, out = self.chunks, []
         for text in many:
-            pre = self.split(text)
-            if new := set(pre).difference(memo):
-                if len(memo) + len(new) > REMEMBERED:
-                    memo.clear()
-                    new = set(pre)
-                self.learn(new)
-            out.append(list(chain.from_iterable(map(memo.__getitem__, pre))))
+            if CROWDED.search(text):
+                out += self.pre_tokens([text])
+                continue
+            first, *rest = text.split(" ")
+            if new := set(rest).difference(chunks):
+                if len(chunks) + len(new) > CHUNKS:
+                    chunks.clear()
+                    new = set(rest)
+                chunks.update(zip(new, self.pre_tokens([f" {c}" for c in new]), strict=True))
+            out.append(list(chain(self.pre_tokens([first])[0], chain.from_iterable(map(chunks.__getitem__, rest)))))
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+_CODECS: dict[tuple[str | None, str | None], Codec] = {}
+
+
 def make_codec(vocabulary: str | None = None, pattern: str | None = None) -> Codec:
-    """vocabulary: path of a file of base64 tokens and ranks; None: the public multilingual one, found on the machine that runs."""
+    """vocabulary: path of a file of base64 tokens and ranks; None: the public multilingual one, found on the machine that runs.
+
+    One for each worker process: what it remembers serves its later tasks.
+    """
     import public_tokenizers
 
-    return Codec(read_ranks(vocabulary or public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN)
+    key = (vocabulary, pattern)
+    if key not in _CODECS:
+        _CODECS[key] = Codec(read_ranks(vocabulary or public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN)
+    return _CODECS[key]
 
 
 def _kept(docs: DataFrame, *made: str) -> list[T.StructField]:
