@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from inkwell.plans.dialect import Dialect
+from pyspark.sql import DataFrame, SparkSession
+
+from inkwell.plans.dialect import Dialect, SparkDialect
 
 #: Occurrences of a word that make its prefixes and suffixes tokens, and their longest length.
 FREQUENT, LONGEST = 30, 7
@@ -65,7 +67,7 @@ def arm_e_filtered_order(d: Dialect) -> str:
 def first_difference(d: Dialect) -> str:
     """Zero-based place of the first differing word of neighbouring documents; null if equal, the shorter length if one begins the other."""
     words = d.split("text", " ")
-    return f"""WITH base AS (SELECT doc_id, {words} AS w FROM {d.table('documents')} WHERE n_chars < 4000),
+    return f"""WITH base AS (SELECT doc_id, {words} AS w FROM {d.table('documents')}),
     spread AS ({d.unnest('doc_id', 'w', 'base')}), sizes AS (SELECT doc_id, count(*) AS n FROM spread GROUP BY doc_id),
     near AS (SELECT a.doc_id, a.pos, a.val AS x, b.val AS y FROM spread a JOIN spread b ON b.doc_id = a.doc_id + 1 AND b.pos = a.pos),
     differ AS (SELECT doc_id, min(CASE WHEN x <> y THEN pos END) AS at FROM near GROUP BY doc_id)
@@ -73,6 +75,18 @@ def first_difference(d: Dialect) -> str:
     FROM sizes a JOIN sizes b ON b.doc_id = a.doc_id + 1 LEFT JOIN differ ON differ.doc_id = a.doc_id"""
 
 
+def first_difference_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """first_difference in Spark: neighbours' whole texts are joined, since rows of single words take many times the input on disk."""
+    d = SparkDialect(sf_dir, spark)
+    words = d.split("text", " ")
+    return spark.sql(f"""WITH base AS (SELECT doc_id, text FROM {d.table('documents')} WHERE text IS NOT NULL),
+    sizes AS (SELECT doc_id, sum(size({words})) AS n FROM base GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id, array_position(zip_with({d.split('a.text', ' ')}, {d.split('b.text', ' ')}, (x, y) -> x <> y), TRUE) AS place FROM base a JOIN base b ON b.doc_id = a.doc_id + 1),
+    differ AS (SELECT doc_id, min(CASE WHEN place > 0 THEN place - 1 END) AS at FROM pairs GROUP BY doc_id)
+    SELECT a.doc_id, CAST(CASE WHEN differ.at IS NOT NULL THEN differ.at WHEN a.n = b.n THEN NULL ELSE least(a.n, b.n) END AS BIGINT) AS first_difference
+    FROM sizes a JOIN sizes b ON b.doc_id = a.doc_id + 1 LEFT JOIN differ ON differ.doc_id = a.doc_id""")
+
+
 def special_subsequence(d: Dialect) -> str:
     """Whether the roles' marks of a conversation, in order, are those of its rendered form."""
     mark = r"<[|]im_(start|end)[|]>"
