@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from inkwell.plans.dialect import Dialect
 
-REPLICATES = 40
+#: The reference's paired analysis.
+REPLICATES = 20_000
+#: Tasks that the draws are dealt out to.
+TASKS = 64
 PAIRS = (("D_minus_E", "d_e"), ("D_minus_B", "d_b"), ("D_minus_A", "d_a"))
 
 
@@ -95,12 +98,17 @@ def extreme_papers(d: Dialect) -> str:
 
 
 def hash_bootstrap(d: Dialect) -> str:
-    """Percentile interval of the mean over REPLICATES resamples; a draw's index is a hash of replicate and draw."""
+    """Percentile interval of the mean over REPLICATES resamples; a draw's index is a hash of replicate and draw.
+
+    Spark's hints deal out the papers before they are drawn and send the values to the draws, so that tasks sum up each
+    replicate before the shuffle; to DuckDB they are comments.
+    """
     index = f"{d.hex_number('substr(' + d.sha(chr(39) + 'r' + chr(39) + ' || CAST(k AS STRING) || ' + chr(39) + ':' + chr(39) + ' || CAST(place AS STRING)') + ', 1, 8)')} % n + 1"
     return f"""WITH {wide(d)}, numbered AS (SELECT batch, d_e, row_number() OVER (PARTITION BY batch ORDER BY paper) AS place, count(*) OVER (PARTITION BY batch) AS n FROM wide),
-    draws AS ({d.series('batch, place, n', '1', str(REPLICATES), 'numbered')}),
+    dealt AS (SELECT /*+ REPARTITION({TASKS}) */ batch, place, n FROM numbered),
+    draws AS ({d.series('batch, place, n', '1', str(REPLICATES), 'dealt')}),
     picked AS (SELECT batch, k, {index} AS pick FROM draws),
-    means AS (SELECT p.batch, p.k, avg(x.d_e) AS mean FROM picked p JOIN numbered x ON p.batch = x.batch AND p.pick = x.place GROUP BY p.batch, p.k)
+    means AS (SELECT /*+ BROADCAST(x) */ p.batch, p.k, avg(x.d_e) AS mean FROM picked p JOIN numbered x ON p.batch = x.batch AND p.pick = x.place GROUP BY p.batch, p.k)
     SELECT batch, CAST(count(*) AS BIGINT) AS replicates, round({d.percentile('mean', 0.025)}, 6) AS low, round({d.percentile('mean', 0.975)}, 6) AS high FROM means GROUP BY batch"""
 
 
