@@ -5,7 +5,9 @@ positions in a window of words; the words at the others are ignored, so that a w
 ignored positions were substituted. Every window of every test item and of every document is hashed under each MASK;
 hashes of both sides are joined, and each hit is verified on its diagonal (document position minus item position):
 the longest stretch in which at least IDENTITY percent of the words agree must span OVERLAP words, or the whole item
-if that is shorter. Items shorter than a mask's window are hashed whole; items of fewer than LEAST words aren't searched.
+if that is shorter. Items shorter than OVERLAP have masks of their own, each of which leaves out as many groups of
+words as may be substituted; items of fewer than LEAST words aren't searched. No overlap that would be verified lacks a
+hit: a longer stretch holds one of 13 to 25 words that suffices, and the tests go through all substitutions in those.
 
 Only hashes that a fixed-size bitmap of the test hashes lets pass leave the scan of the documents; the join decides.
 Equal items are one class, whose smallest item_id stands for all (``copies`` tells how many). Null and empty texts have
@@ -14,6 +16,8 @@ no words. Repeated documents and equal doc_ids are each searched. ``clean`` keep
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +25,11 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import arrow_pass, materialise, mix64, record, table, texts
 
-#: These four hit every stretch of 15 words with 3 substitutions that we tried, and of 20 words with 4.
-MASKS = ((0, 1, 2, 4, 5, 6, 8), (0, 2, 3, 6, 7, 8), (0, 1, 2, 3, 7, 9), (0, 3, 7, 8, 9, 10))
+#: These hit every stretch of 13 words with 2 substitutions, of 15 with 3, of 20 with 4 and of 25 with 5.
+MASKS = ((0, 1, 2, 4, 5, 6, 8), (0, 2, 3, 6, 7, 8), (0, 1, 2, 3, 7, 9), (0, 3, 7, 8, 9, 10), (0, 1, 3, 4, 5, 6, 11))
 OVERLAP, IDENTITY, LEAST = 13, 80, 5
+#: Words that a mask of a short item keeps, where its length and substitutions allow.
+KEPT = 6
 REMEMBERED = 300_000
 #: Most bits of the bitmap of test hashes, and the places in it that each hash sets.
 FILTER_BITS, PLACES = 1 << 26, 3
@@ -59,9 +65,17 @@ def seeds(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     return mix64(h)
 
 
-def masks_for(shortest: list[int]) -> list[tuple[int, ...]]:
-    """MASKS, and for each length of items shorter than some window the mask of all its words."""
-    return [*MASKS, *(tuple(range(n)) for n in sorted({n for n in shortest if LEAST <= n <= max(m[-1] for m in MASKS)}))]
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of n words: whichever words are substituted, as many as IDENTITY allows, one mask has none of them."""
+    free = n * (100 - IDENTITY) // 100
+    size = max(1, (n - KEPT) // free)
+    groups = [range(at, min(at + size, n)) for at in range(0, n, size)]
+    return [tuple(sorted(set(range(n)).difference(*left))) for left in combinations(groups, free)]
+
+
+def masks_for(lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """MASKS, for items of any length from OVERLAP on (0), and the masks of each length of shorter items, with that length."""
+    return [*((0, m) for m in MASKS), *((n, m) for n in sorted({n for n in lengths if LEAST <= n < OVERLAP}) for m in short_masks(n))]
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -81,7 +95,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return materialise(each.groupBy("words", "length").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies")), "benchmark-items")
 
 
-def item_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+def item_seeds(items: DataFrame, masks: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
     """seed, item_id and at (word position) of every window of every item."""
     schema = pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("at", pa.int32())])
 
@@ -89,10 +103,10 @@ def item_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
         def one(batch):
             for key, raw in zip(batch.column("item_id").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 words = np.frombuffer(raw, "<u8")
-                for k, mask in enumerate(masks):
-                    if k >= len(MASKS) and len(mask) != len(words):
+                for k, (length, mask) in enumerate(masks):
+                    if length != (len(words) if len(words) < OVERLAP else 0):
                         continue
-                    h = seeds(words, mask, k)
+                    h = seeds(words, mask, k)[: 1 if length else None]
                     yield record(schema, seed=h.view(np.int64), item_id=[key] * len(h), at=np.arange(len(h), dtype=np.int32))
 
         return one
@@ -132,7 +146,7 @@ def seed_filter(found: DataFrame) -> np.ndarray:
     return out
 
 
-def scan(docs: DataFrame, masks: list[tuple[int, ...]], bitmap: np.ndarray) -> DataFrame:
+def scan(docs: DataFrame, masks: list[tuple[int, tuple[int, ...]]], bitmap: np.ndarray) -> DataFrame:
     """_row, doc_id, words and the hits (seed, at) of each document that holds a hash which the bitmap lets pass."""
     hit = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())]))
     schema = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("words", pa.binary()), ("hits", hit)])
@@ -145,7 +159,7 @@ def scan(docs: DataFrame, masks: list[tuple[int, ...]], bitmap: np.ndarray) -> D
             for row, key, text in zip(batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 words = memory.of(text)
                 found = []
-                for k, mask in enumerate(masks):
+                for k, (_, mask) in enumerate(masks):
                     for part in range(0, max(1, len(words)), PART):
                         h = seeds(words[part : part + PART + mask[-1]], mask, k)
                         at = places(h, bits)
@@ -175,7 +189,7 @@ def longest_stretch(same: np.ndarray, identity: int = IDENTITY) -> tuple[int, in
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, copies, start and length (in words of the document) and matched words of each verified overlap, the best for each document and item."""
     items = items_of(benchmark)
-    masks = masks_for([r.length for r in items.select("length").where(F.col("length") <= max(m[-1] for m in MASKS)).distinct().collect()])
+    masks = masks_for([r.length for r in items.select("length").where(F.col("length") < OVERLAP).distinct().collect()])
     known = item_seeds(items, masks)
     found = scan(docs, masks, seed_filter(known))
     hits = found.select("_row", F.explode("hits").alias("h")).select("_row", "h.seed", "h.at")

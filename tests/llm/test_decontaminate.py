@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 
@@ -43,3 +44,25 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, tmp_path):
     kept = d.clean(docs, benchmark)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, _ in rows} - {20, 21, 24, 25}
     assert d.overlaps(docs, benchmark.limit(0)).count() == 0 and d.overlaps(docs.limit(0), benchmark).count() == 0
+
+
+def test_every_accepted_placement_has_a_seed():
+    for n, free in [*((n, n // 5) for n in range(d.LEAST, d.OVERLAP)), (13, 2), (15, 3), (20, 4), (25, 5)]:
+        masks = [m for length, m in d.masks_for([n]) if length == (n if n < d.OVERLAP else 0)]
+        shifts = [0] if n < d.OVERLAP else range(n)
+        windows = [sum(1 << at + s for at in m) for m in masks for s in shifts if m[-1] + s < n]
+        placed = [sum(1 << at for at in left) for left in combinations(range(n), free)]
+        assert not [x for x in placed if all(x & w for w in windows)], n
+
+
+def test_short_items_with_a_substitution_are_found(spark, tmp_path):
+    rows, bench = [], []
+    for n in range(d.LEAST, 26):
+        item = [f"item{n}word{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        spots = {15: [(3, 8, 11)], 20: [(8, 9, 10, 11), (8, 9, 10, 13)]}.get(n, list(combinations(range(n), n // 5)) if n < d.OVERLAP else [(0, n - 1)])
+        rows += [(100 * n + k, "before " + " ".join("other" if at in spot else w for at, w in enumerate(item)) + " after") for k, spot in enumerate(spots)]
+    rows.append((99, "item7word0 other other item7word3 item7word4 item7word5 item7word6"))
+    sf = documents(spark, rows, tmp_path)
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    assert {(r.doc_id, r.item_id) for r in d.op1_decontamination(spark, sf).collect()} == {(k, k // 100) for k, _ in rows if k != 99}
