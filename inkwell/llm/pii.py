@@ -3,7 +3,7 @@
 Base kinds (leftmost non-overlapping matches, each kind on its own): ``email``, ``ip`` (parts up to 255), ``card``
 (12 to 19 digits that pass Luhn) and ``phone`` (9 to 15 digits). They seed the extraction:
 
-* a lexical pattern is a label, a word that ends in ':', '=' or '#'; its instances are the tokens that follow it in
+* a lexical pattern is a label, a word of two letters or more before ':', '=' or '#' (spaces may come between, and any white space after); its instances are the tokens that follow it in
   the corpus. An instance that overlaps a base span is a seed;
 * ROUNDS times, a pattern's confidence is the mean score of its distinct instances, and an unseen instance's score for
   it is the chance that another of its patterns is right, 1 - prod(1 - confidence). Seeds keep the score 1; any other
@@ -35,8 +35,8 @@ PATTERNS = {
 }
 #: A text without this can't hold the kind.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
-LABEL = r"(?<![\p{L}_])[\p{L}_]{2,24}+\x20?[:=#]\s{0,4}+[^\s\"'<>]{1,64}+"
-LABEL_PARTS = r"^([\p{L}_]+)\x20?[:=#]\s*(.*)$"
+LABEL = r"(?<![\p{L}_])[\p{L}_]{2,}+\x20*+[:=#]\s*+[^\s\"'<>]++"
+LABEL_PARTS = r"(?s)^([\p{L}_]++)\x20*+[:=#]\s*+(.*)$"
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.7, 3
 HIT = "struct<at:long,out:array<struct<start:long,stop:long,hit:string>>>"
 

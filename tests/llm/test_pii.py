@@ -57,3 +57,22 @@ def test_redact_keeps_rows_and_columns(spark, tmp_path):
     assert out.columns == df.columns
     assert sorted((r.doc_id, r.text) for r in out.collect() if r.text is not None) == [(1, "é mail <EMAIL> now <IP>"), (2, "clean"), (3, "")]
     assert out.count() == 4 and pii.redact(df.limit(0)).count() == 0
+
+
+def test_whole_tokens_after_labels_of_any_length_and_spacing(spark, tmp_path):
+    long, label = "zz-77-" + "k9" * 200, "kundenidentifikationsnummerfeld"
+    rows = [(k, f"ref: user{k}@mail.example {label}: owner{k}@mail.example") for k in range(9)]
+    rows += [(10, f"ref: {long}, then"), (11, f"{label}: aa-11 x"), (12, "ref:" + " " * 9 + "\n\tbb-22 x"), (13, "ref   = cc-33\u2028d x")]
+    sf = documents(spark, rows, tmp_path)
+    got = {r.doc_id: r.spans for r in pii.op8_pii(spark, sf).collect()}
+    assert got[10] == f"context:5:{5 + len(long)}" and got[11] == f"context:{len(label) + 2}:{len(label) + 7}"
+    assert got[12] == "context:15:20" and got[13] == "context:8:15"
+    out = {r.doc_id: r.text for r in pii.redact(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert out[10] == "ref: <CONTEXT>, then"
+
+
+def test_tokens_that_differ_late_are_instances_of_their_own(spark, tmp_path):
+    head = "q" * 64
+    rows = [(k, f"code: user{k}@mail.example") for k in range(6)] + [(10 + k, f"code: {head}{k}") for k in range(6)]
+    got = {r.doc_id: r.spans for r in pii.op8_pii(spark, documents(spark, rows, tmp_path)).collect()}
+    assert [got[10 + k] for k in range(6)] == [""] * 6
