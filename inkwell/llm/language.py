@@ -6,7 +6,8 @@ each language (one versus the rest, targets +1 and -1) is solved in that space.
 a presence matrix times the landmarks' gives kernels, and kernels times the weights give margins.
 
 Only rows with a text, a language and crc32(doc_id) % 4 <> 2 are learned from: a sample of SAMPLE rows of each
-language at most, by the order of a hash. Null texts and texts without a letter are ``und``, score 0. Without any
+language at most, by the order of hashes of doc_id and text; every language that occurs is learned. The driver holds
+2 KB for each sampled row and 64 KB for each landmark. Null texts and texts without a letter are ``und``, score 0. Without any
 row to learn from, everything is ``und``. Repeated rows are scored each; columns other than doc_id, text and lang
 are not read.
 """
@@ -18,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_pass, record, table, texts
+from inkwell.llm.common import arrow_pass, materialise, record, table, texts
 
 N_GRAMS = (1, 2, 3)
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 14
-#: Labelled rows of each language that are learned from at most, and landmarks in all.
-SAMPLE, LANDMARKS, LANGUAGES = 400, 128, 64
+#: Labelled rows of each language that are learned from at most, and landmarks in all and of each language at least.
+SAMPLE, LANDMARKS, EACH = 400, 128, 2
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Characters of one step of feature extraction, which bounds memory for very long texts.
@@ -70,20 +71,28 @@ class Model:
         return (rows @ landmarks.T) / norm
 
     @classmethod
-    def fit(cls, rows: np.ndarray, names: list[str]) -> Model:
+    def fit(cls, bits: np.ndarray, names: list[str]) -> Model:
+        """bits: a packed presence row for each name."""
         languages = sorted(set(names))
-        of = np.array([languages.index(x) for x in names])
+        number = {x: k for k, x in enumerate(languages)}
+        of = np.array([number[x] for x in names])
+
+        def unpacked(some: np.ndarray) -> np.ndarray:
+            return np.unpackbits(some, axis=1).astype(np.float32)
+
         # landmarks alternate between the languages, in the order of the sample
         turn = np.zeros(len(of), np.int64)
         for k in range(len(languages)):
             turn[of == k] = np.arange((of == k).sum())
-        picked = np.lexsort((of, turn))[:LANDMARKS]
-        landmarks = rows[picked] / np.sqrt(np.maximum(rows[picked].sum(1, keepdims=True), 1))
+        picked = np.lexsort((of, turn))[: max(LANDMARKS, EACH * len(languages))]
+        landmarks = unpacked(bits[picked])
+        landmarks /= np.sqrt(np.maximum(landmarks.sum(1, keepdims=True), 1))
         inner = (landmarks @ landmarks.T).astype(np.float64)
         value, vector = np.linalg.eigh(inner)
         keep = value > 1e-6 * max(value.max(), 1e-12)
         whiten = vector[:, keep] / np.sqrt(value[keep])
-        features = cls.kernels(rows, landmarks).astype(np.float64) @ whiten
+        near = [cls.kernels(unpacked(bits[at : at + ROWS_AT_ONCE]), landmarks) for at in range(0, len(bits), ROWS_AT_ONCE)]
+        features = np.vstack(near).astype(np.float64) @ whiten
         features = np.hstack([features, np.ones((len(features), 1))])
         target = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
         # each language weighs the same
@@ -101,36 +110,55 @@ def fold(mod: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % mod
 
 
+def sample(fit: DataFrame) -> DataFrame:
+    """lang, key, tie and copies: the SAMPLE first (key, tie) of each language; each task finds its own first."""
+    schema = pa.schema([("lang", pa.string()), ("keys", pa.list_(pa.struct([("key", pa.int64()), ("tie", pa.int64())])))])
+
+    def make():
+        held = {}
+
+        def one(batch):
+            for lang, key, tie in zip(*(batch.column(c).to_pylist() for c in ("lang", "key", "tie")), strict=True):
+                first = held.setdefault(lang, [])
+                first.append((key, tie))
+                if len(first) >= 2 * SAMPLE:
+                    held[lang] = sorted(first)[:SAMPLE]
+            return ()
+
+        def finish():
+            for lang, first in held.items():
+                yield record(schema, lang=[lang], keys=[[{"key": k, "tie": t} for k, t in sorted(first)[:SAMPLE]]])
+
+        one.finish = finish
+        return one
+
+    firsts = arrow_pass(fit.select("lang", "key", "tie"), make, "lang string, keys array<struct<key:long,tie:long>>")
+    merged = firsts.groupBy("lang").agg(F.slice(F.array_sort(F.flatten(F.collect_list("keys"))), 1, SAMPLE).alias("keys"))
+    return merged.select("lang", F.explode("keys").alias("k")).groupBy("lang", "k.key", "k.tie").agg(F.count("*").alias("copies"))
+
+
 def train(docs: DataFrame) -> Model | None:
     """docs: doc_id, text, lang of the rows that may be learned from. Feature rows come back as bits, SAMPLE for each language at most."""
-    fit = docs.where("text is not null and lang is not null and lang <> ''")
-    names = [r.lang for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not names:
-        return None
-    key = F.xxhash64(F.col("doc_id"))
-    ids = None
-    for lang in names:  # a top-k for each language: only SAMPLE keys leave a task
-        top = fit.where(F.col("lang") == lang).select(F.lit(lang).alias("of"), key.alias("key")).orderBy("key").limit(SAMPLE)
-        ids = top if ids is None else ids.union(top)
-    bounds = {r.of: r.last for r in ids.groupBy("of").agg(F.max("key").alias("last")).collect()}
-    chosen = F.lit(False)
-    for lang, last in bounds.items():
-        chosen = chosen | ((F.col("lang") == lang) & (key <= F.lit(last)))
-    schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("bits", pa.binary())])
+    fit = docs.where("text is not null and lang is not null and lang <> ''").select("text", "lang", F.xxhash64("doc_id").alias("key"), F.xxhash64("text").alias("tie"))
+    chosen = materialise(sample(fit), "language-sample")
+    schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("tie", pa.int64()), ("copies", pa.int64()), ("bits", pa.binary())])
 
     def make():
         def one(batch):
-            keep = [k for k, t in enumerate(texts(batch)) if has_letter(t)]
             many = texts(batch)
-            for k in keep:
-                yield record(schema, lang=[batch.column("lang")[k].as_py()], key=[batch.column("key")[k].as_py()], bits=[np.packbits(presence([many[k]])[0].astype(bool)).tobytes()])
+            for k, text in enumerate(many):
+                if has_letter(text):
+                    yield record(schema, **{c: [batch.column(c)[k].as_py()] for c in ("lang", "key", "tie", "copies")}, bits=[np.packbits(presence([text])[0].astype(bool)).tobytes()])
 
         return one
 
-    rows = arrow_pass(fit.where(chosen).select("text", "lang", key.alias("key")), make, "lang string, key long, bits binary").orderBy("lang", "key", "bits").limit(SAMPLE * len(names) + len(names)).collect()
+    # rows of equal keys and texts are one row with its number of copies
+    found = arrow_pass(fit.join(F.broadcast(chosen), ["lang", "key", "tie"]), make, "lang string, key long, tie long, copies long, bits binary")
+    rows = found.groupBy("lang", "key", "tie", "copies").agg(F.min("bits").alias("bits")).collect()
     if not rows:
         return None
-    bits = np.vstack([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in rows]).astype(np.float32)
+    rows = [r for r in sorted(rows, key=lambda r: (r.lang, r.key, bytes(r.bits))) for _ in range(r.copies)]
+    bits = np.vstack([np.frombuffer(r.bits, np.uint8) for r in rows])
     return Model.fit(bits, [r.lang for r in rows])
 
 

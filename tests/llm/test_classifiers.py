@@ -61,3 +61,16 @@ def test_grammar_weighs_clauses():
     muted, said, threat = s.matches("not a zulk"), s.matches("he said zulk zulk"), s.matches("i will kill you")
     assert targeted[0] > plain[0] > muted[0] and said[0] < plain[0] and threat[0] > plain[0]
     assert s.matches("not. zulk") == plain and s.matches("snarven") and not s.matches("snarv") and s.matches("") == []
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{k:02}" for k in range(80)] + ["zz"]
+    rows = [(1000 + 8 * n + k, f"{chr(0x4E00 + 5 * n) * 6} {chr(0x4E01 + 5 * n) * (k + 1)}", lang) for n, lang in enumerate(names) for k in range(4)]
+    rows += [(7, f"{chr(0x4E00) * 5} {chr(0x4E01) * (k % 50 + 1)}", "l00") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.train(docs)
+    assert model.languages == names and len(model.landmarks) >= 2 * len(names)
+    got = [names[k] for k in model.margins([f"{chr(0x4E00 + 5 * n) * 6}" for n in range(len(names))]).argmax(1)]
+    assert sum(a == b for a, b in zip(got, names, strict=True)) >= 0.95 * len(names)
+    chosen = language.sample(docs.selectExpr("lang", "xxhash64(doc_id) AS key", "xxhash64(text) AS tie")).groupBy("lang").sum("copies").collect()
+    assert {r[0]: r[1] for r in chosen} == {x: 400 if x == "l00" else 4 for x in names}
