@@ -40,7 +40,8 @@ class Encoder:
     """The tokenizers library's ids of texts, as little-endian unsigned integers of 16 bits where all ids fit, else of 32.
 
     No token crosses white space in this tokenizer, so chunks between spaces are encoded once and remembered; the
-    words of a new plain chunk go straight to the library's model.
+    words of a new plain chunk go straight to the library's model. Texts with the literal of an added token go through
+    the library whole.
     """
 
     def __init__(self, path: str | None = None):
@@ -57,9 +58,9 @@ class Encoder:
 
         path = path or public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as f:
             settings = json.load(f)
+        self.added = [t["content"] for t in settings["added_tokens"]]
         steps = settings["pre_tokenizer"]["pretokenizers"]
         self.words_of = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.odd = regex.compile(f"[^{PLAIN}]").search
@@ -91,6 +92,8 @@ class Encoder:
         return self.whole(c) if self.odd(c) else b"".join(map(self.word, self.words_of(c.lower())))
 
     def encode(self, text: str) -> bytes:
+        if any(literal in text for literal in self.added):
+            return self.whole(text)
         chunks = self.chunks
         parts = text.replace("\n", " ").split(" ")
         new = set(parts).difference(chunks)

@@ -79,3 +79,17 @@ def test_token_file_of_an_empty_table(spark, tmp_path):
     sf = documents(spark, EDGES, tmp_path / "full")
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert token_file.op10_huffman_tokens(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_token_file_knows_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a b<|endoftext|> c"), (2, "plain"), (3, "<|startoftext|>A\u00a0B <|ENDOFTEXT|> <|endoftext|"), (4, "x\n<|endoftext|><|startoftext|>\n")]
+    t = Tokenizer.from_file(P.path(token_file.TOKENIZER))
+    got = {r.doc_id: r for r in token_file.op10_huffman_tokens(spark, documents(spark, rows, tmp_path)).collect()}
+    start = 0
+    for key, text in rows:
+        ids = [*t.encode(text, add_special_tokens=False).ids, token_file.END_ID]
+        assert (got[key].start, got[key].n_tokens) == (start, len(ids))
+        assert got[key].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
