@@ -45,7 +45,7 @@ STAGES = [
     ("pii", redact_personal_data),
     ("tokens", encode_tokens),
 ]
-#: No stage but the last part of pii can be said in SQL; tests/llm compares the whole with a brute-force version.
+#: No stage but the last part of pii can be said in SQL. tests/llm compares the operators with brute force; of the whole it checks planted rows only.
 ORACLE_SQL = None
 
 
