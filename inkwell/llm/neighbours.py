@@ -192,10 +192,11 @@ def nearest(embeddings: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame
             unit = exact / np.sqrt((exact**2).sum(1, keepdims=True))
             found, _ = search(points, squares, edges, starts, np.hstack([unit, np.zeros((len(unit), 1))]).astype(np.float32), BEAM)
             score = np.where(found >= 0, np.einsum("bkd,bd->bk", vectors[found], exact), -np.inf)
-            order = np.argsort(-score, 1, kind="stable")[:, : k + 1]
+            order = np.argsort(-score, 1, kind="stable")
             found, score = np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)
             ask = np.repeat(part[["k1", "k2"]].to_numpy(np.int64), found.shape[1], 0)
-            good = found.ravel() >= 0
+            # all that tie with the last one stay: vec_ids decide, and are joined later
+            good = ((found >= 0) & (score >= score[:, [min(k, score.shape[1] - 1)]])).ravel()
             out.append(np.column_stack([ask, keys[found.ravel()]])[good])
             out.append(score.ravel()[good])
         pairs, scores = np.vstack(out[::2]), np.concatenate(out[1::2])
@@ -204,7 +205,7 @@ def nearest(embeddings: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame
     left, right = ([f[c] for c in ("dim", "shard", "part")] for f in (copies, sent))
     found = copies.groupBy(*left).cogroup(sent.groupBy(*right)).applyInPandas(look, "q1 long, q2 long, k1 long, k2 long, score double")
     asker = Window.partitionBy("q1", "q2")
-    best = found.withColumn("r", F.row_number().over(asker.orderBy(F.desc("score"), "k1", "k2"))).where(F.col("r") <= k + 1).drop("r")
+    best = found.withColumn("r", F.rank().over(asker.orderBy(F.desc("score")))).where(F.col("r") <= k + 1).drop("r")
     expanded = best.join(members, key).withColumn("r", F.row_number().over(asker.orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1).select("q1", "q2", "vec_id", "score")
     askers = rows.where(is_query).select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("vec_id").alias("query_id"))
     joined = askers.join(materialise(expanded, "ann-found"), ["q1", "q2"]).where("vec_id <> query_id")

@@ -26,3 +26,11 @@ def test_neighbours_against_brute_force(spark):
         hit += len({v for _, v, _ in got[q]} & {k for _, k in want})
     assert hit >= 0.95 * 45 * 20
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_ties_between_different_vectors_go_by_vec_id(spark):
+    rows = [(0, [1.0] * 8)] + [(k, [1.0 if at in (k % 8, (k % 8 + k // 8 + 1) % 8) else 0.0 for at in range(8)]) for k in range(1, 49)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    score = {k: sum(v) for k, v in rows}
+    assert got == sorted(range(1, 49), key=lambda k: (-score[k], k))[:20]
