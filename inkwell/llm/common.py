@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,14 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share. Only a session whose one machine is the driver's may leave it unset: it then works under the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """A column name like this one that none of the columns has, in either case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -133,3 +142,93 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return cur.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+
+
+def by_bucket(h: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The buckets that hashes fall into, each with their places."""
+    b = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    found, first = np.unique(b[order], return_index=True)
+    return [(int(k), part) for k, part in zip(found, np.split(order, first[1:]), strict=True)]
+
+
+def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h & np.uint64(len(bitmap) * 32 - 1)).astype(np.int64)
+    return ((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
+
+
+def repeated_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], buckets: int, n_bits: int) -> np.ndarray:
+    """A bitmap of n_bits (a power of two) of the hashes that several rows hold; hashes() gives each row's, once each.
+
+    A task sends each hash once with a mark whether several of its rows hold it, so a hot hash costs an entry a task.
+    """
+    sent = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("several", pa.binary())])
+
+    def make():
+        held: list[np.ndarray] = []
+        size = [0]
+
+        def flush():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            size[0] = 0
+            for b, part in by_bucket(h, buckets):
+                yield record(sent, bucket=[b], hashes=[h[part].tobytes()], several=[np.packbits(n[part] > 1).tobytes()])
+
+        def one(batch):
+            for h in hashes(batch):
+                held.append(h)
+                size[0] += len(h)
+            if size[0] >= 2_000_000:
+                yield from flush()
+
+        def finish():
+            if size[0]:
+                yield from flush()
+
+        one.finish = finish
+        return one
+
+    marked = pa.schema([("word", pa.int32()), ("bits", pa.int64())])
+    parts = arrow_pass(df, make, "bucket int, hashes binary, several binary")
+
+    def reduce(group: pa.Table) -> pa.Table:
+        cols = group.to_pydict()
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in cols["hashes"]])
+        s = np.concatenate([np.unpackbits(np.frombuffer(y, np.uint8), count=len(x) // 8) for x, y in zip(cols["hashes"], cols["several"], strict=True)])
+        order = np.argsort(h, kind="stable")
+        h, s = h[order], s[order].astype(bool)
+        same = np.concatenate([h[1:] == h[:-1], [False]])
+        at = (np.unique(h[s | same]) & np.uint64(n_bits - 1)).astype(np.int64)
+        words, where = np.unique(at >> 5, return_inverse=True)
+        bits = np.zeros(len(words), np.uint32)
+        np.bitwise_or.at(bits, where, np.uint32(1) << (at & 31).astype(np.uint32))
+        return pa.Table.from_batches([record(marked, word=words.astype(np.int32), bits=bits.astype(np.int64))])
+
+    words = parts.groupBy("bucket").applyInArrow(reduce, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(n_bits // 32, np.uint32)
+    for part in packed_words(words).toLocalIterator():
+        out[np.frombuffer(part.words, np.int32)] = np.frombuffer(part.bits, np.uint32)
+    return out
+
+
+def packed_words(words: DataFrame) -> DataFrame:
+    """(words, bits) as few binary rows: no more entries in all than the bitmap has words."""
+    schema = pa.schema([("words", pa.binary()), ("bits", pa.binary())])
+
+    def make():
+        w, b = [], []
+
+        def one(batch):
+            w.append(batch.column("word").to_numpy().astype(np.int32))
+            b.append(batch.column("bits").to_numpy().astype(np.uint32))
+            return ()
+
+        def finish():
+            if w:
+                yield record(schema, words=[np.concatenate(w).tobytes()], bits=[np.concatenate(b).tobytes()])
+
+        one.finish = finish
+        return one
+
+    return arrow_pass(words, make, "words binary, bits binary")

@@ -7,14 +7,20 @@ the first n - ceil(t n) + 1 of each; so representatives with the same prefix and
 on prefix shingles with sizes within t of each other, and group pairs that survive are expanded to members, whose
 sets are verified.
 
-Links are wanted up to connected components, and that is what keeps hot groups linear: in HUB_ROUNDS rounds each
-prefix shingle's groups propose pairs with one hub only (the group that shares most shingles, then a random one), and
-pairs inside a component are not proposed again. A last round joins all groups that share a shingle and still lie in
-different components, so that no link between components is lost. As rare shingles come first, the places of the
-shared shingles rule out nearly all pairs of a hot group that are not alike.
+Links are wanted up to connected components, and that is what keeps hot groups linear:
+
+* in a hub round each prefix shingle pairs all of its groups with one of them, its hub, and pairs inside a component
+  are left out. A hub that stands for one class has then met every group of the shingle, and leaves it; shingles whose
+  groups all lie in one component, or that have one group left, leave too. So a shingle of two groups takes one round;
+* after HUB_ROUNDS rounds, and as long as rounds still add links, what is left is joined: of each shingle, the groups
+  outside its largest component with all groups;
+* every pair passes a sketch first: the parities of how many of a set's shingles fall into each of 2n to 4n buckets.
+  Two sketches differ in no more places than the sets do, so the test loses no link, and a join of hot shingles
+  brings forth few pairs that are not alike.
 
 Null and empty texts have no words and link with nothing; with fewer than WORDS words the whole sequence is the one
-shingle. Repeated rows and equal doc_ids: all rows of a doc_id share its component. Other columns are not read.
+shingle. Very long texts are one set each. Repeated rows and equal doc_ids: all rows of a doc_id share its component.
+An empty table gives no rows. Other columns, whatever their names, are not read by ``join`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -23,18 +29,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from inkwell.llm.common import arrow_pass, components, discard, materialise, mix64, record, release, table, texts
+from inkwell.llm.common import arrow_pass, components, discard, in_bitmap, materialise, mix64, record, release, repeated_filter, table, texts, unused
 
 WORDS, PERCENT = 4, 85
 #: Buckets of the estimate of common shingles; rows of one task that make a bucket common; both bound what is sent out.
 BUCKET_BITS, COMMON = 22, 8
-#: Hub rounds before the rest is joined in full.
-HUB_ROUNDS = 2
+#: Hub rounds at least, before the rest is joined in full.
+HUB_ROUNDS = 3
 REMEMBERED = 300_000
-#: Most bits of the bitmap that spares reading texts which no candidate needs.
-FILTER_BITS = 1 << 26
+#: Most bits of the bitmap that spares reading texts which no candidate needs, and of the one of shared prefix shingles.
+FILTER_BITS, SHARED_BITS = 1 << 26, 1 << 27
+#: Prefix shingles of one bucket when shared ones are looked for.
+BUCKET_ROWS = 1 << 20
+#: Most bits of a sketch; longer sets fold onto them.
+SKETCH_BITS = 1 << 16
 
 
 class WordHashes(dict):
@@ -70,6 +79,21 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of hashes that fall into each of 2n to 4n buckets (SKETCH_BITS at most), as 64-bit words. XOR of its halves is the sketch of half the buckets."""
+    bits = min(SKETCH_BITS, 2 << max(6, (len(h) - 1).bit_length())) if len(h) else 64
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def close(x: str, nx: str, y: str, ny: str, percent: int) -> F.Column:
+    """Whether sketches x and y leave room for a similarity of percent of sets of nx and ny shingles; true where one is null."""
+    half = lambda a: f"zip_with(slice({a}, 1, size({a}) div 2), slice({a}, size({a}) div 2 + 1, size({a}) div 2), (p, q) -> p ^ q)"
+    differ = lambda a, b: f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    least = f"CASE WHEN size({x}) = size({y}) THEN {differ(x, y)} WHEN size({x}) = 2 * size({y}) THEN {differ(half(x), y)} WHEN size({y}) = 2 * size({x}) THEN {differ(x, half(y))} ELSE 0 END"
+    return F.expr(f"coalesce(({least}) * {100 + percent} <= ({nx} + {ny}) * {100 - percent}, true)")
+
+
 def common_buckets(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of shingles that many rows hold, and how many: an estimate for ordering only, at most 2**BUCKET_BITS entries."""
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
@@ -95,9 +119,9 @@ def common_buckets(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), two hashes of the set, and its prefix: 64-bit shingles, rare ones first."""
+    """doc_id, n (set size), two hashes of the set, its prefix (64-bit shingles, rare ones first) and its sketch."""
     buckets, counts = common_buckets(docs, words)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def make():
         memory = WordHashes()
@@ -105,7 +129,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
         often = np.append(counts, 0)
 
         def one(batch):
-            n, s1, s2, prefixes = [], [], [], []
+            n, s1, s2, prefixes, sketches = [], [], [], [], []
             for text in texts(batch):
                 h = shingles(text, memory, words)
                 bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
@@ -116,15 +140,21 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 s2.append(int(signed(mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).reshape(1))[0]) if len(h) else 0)
                 size = len(h) - required(len(h), percent) + 1 if len(h) else 0
                 prefixes.append(h[np.lexsort((h, rank))[:size]].astype("<u8").tobytes())
-            yield record(schema, doc_id=batch.column("doc_id"), n=n, s1=s1, s2=s2, prefix=prefixes)
+                sketches.append(sketch(h))
+            ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches), pa.int64()))
+            yield record(schema, doc_id=batch.column("doc_id"), n=n, s1=s1, s2=s2, prefix=prefixes, sketch=lists)
 
         return one
 
-    return materialise(arrow_pass(docs.select("doc_id", "text"), make, "doc_id long, n long, s1 long, s2 long, prefix binary"), "jaccard-signatures")
+    return materialise(arrow_pass(docs.select("doc_id", "text"), make, "doc_id long, n long, s1 long, s2 long, prefix binary, sketch array<long>"), "jaccard-signatures")
 
 
 def prefix_rows(groups: DataFrame) -> DataFrame:
-    """A row for each prefix shingle of each group that another group shares."""
+    """token, gid, n and pos: a row for each prefix shingle of each group that another group shares. A bitmap holds back most others before the shuffle; counts decide."""
+    total = groups.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    of = lambda batch: (np.frombuffer(p, "<u8") for p in batch.column("prefix").to_pylist())
+    bitmap = repeated_filter(groups.select("prefix"), of, max(4, -(-total // (8 * BUCKET_ROWS))), SHARED_BITS)
     schema = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def make():
@@ -132,26 +162,30 @@ def prefix_rows(groups: DataFrame) -> DataFrame:
             raw = batch.column("prefix").to_pylist()
             size = np.array([len(r) // 8 for r in raw])
             first = np.repeat(np.cumsum(size) - size, size)
+            token = np.frombuffer(b"".join(raw), "<u8")
+            keep = np.flatnonzero(in_bitmap(bitmap, token))
             yield record(
                 schema,
-                token=np.frombuffer(b"".join(raw), "<i8"),
-                gid=np.repeat(batch.column("gid").to_numpy(), size),
-                n=np.repeat(batch.column("n").to_numpy(), size).astype(np.int32),
-                pos=(np.arange(size.sum()) - first).astype(np.int32),
+                token=signed(token[keep]),
+                gid=np.repeat(batch.column("gid").to_numpy(), size)[keep],
+                n=np.repeat(batch.column("n").to_numpy(), size)[keep].astype(np.int32),
+                pos=(np.arange(size.sum()) - first)[keep].astype(np.int32),
             )
 
         return one
 
-    rows = arrow_pass(groups, make, "token long, gid long, n int, pos int")
-    shared = rows.withColumn("sharers", F.count("*").over(Window.partitionBy("token"))).where("sharers > 1").drop("sharers")
-    return materialise(shared, "jaccard-shared")
+    rows = materialise(arrow_pass(groups.select("gid", "n", "prefix"), make, "token long, gid long, n int, pos int"), "jaccard-prefixes")
+    several = rows.groupBy("token").agg(F.count("*").alias("sharers")).where("sharers > 1").select("token")
+    shared = materialise(rows.join(several, "token"), "jaccard-shared")
+    discard(rows)
+    return shared
 
 
-def alike(a: str, b: str, percent: int) -> F.Column:
-    """Whether sizes and places of a shared shingle leave room for a similarity of percent."""
-    na, nb = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
-    left = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (left * (100 + percent) >= (na + nb) * percent)
+def alike(na: str, pa_: str, nb: str, pb: str, percent: int) -> F.Column:
+    """Whether sizes (columns na, nb) and places (pa_, pb) of a shared shingle leave room for a similarity of percent."""
+    a, b = F.col(na).cast("long"), F.col(nb).cast("long")
+    left = F.least(a - F.col(pa_), b - F.col(pb))
+    return (a * 100 >= b * percent) & (b * 100 >= a * percent) & (left * (100 + percent) >= (a + b) * percent)
 
 
 def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
@@ -199,7 +233,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are alike. pairs: distinct, and materialised."""
-    side = lambda x: sets.join(pairs.select(F.col(x).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -222,73 +256,122 @@ def oriented(x: F.Column, y: F.Column) -> list[F.Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (node, component) after more links (a, b): only components that a link touches are gone through."""
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    nodes = materialise(nodes, "jaccard-nodes")
+    end = lambda x: nodes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    moved = components(links.join(end("a"), "a").join(end("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), "jaccard")
+    every = comps.join(nodes, "node", "left_anti").union(nodes)
+    out = every.join(moved.select(F.col("node").alias("component"), F.col("component").alias("low")), "component", "left").select("node", F.coalesce("low", "component").alias("component"))
+    return materialise(out, "jaccard-components")
+
+
+def settled(x: str, y: str) -> F.Column:
+    """Whether groups x and y lie in one component as a whole."""
+    return F.expr(f"{x}low = {x}high AND {y}low = {y}high AND {x}low = {y}low")
+
+
+def hub_round(live: DataFrame, state: DataFrame, turn: int, percent: int, known: DataFrame) -> DataFrame:
+    """The rows of shingles that still join components, each with its shingle's hub: hub, meets (whether the two may be alike and aren't in one component) and stays (whether the row is needed after this round)."""
+    spread = live.join(state, "gid")
+    weigh = F.struct("known", -F.col("gid")) if turn == 0 else F.struct((F.col("classes") == 1).cast("int").alias("one"), F.xxhash64("gid", F.lit(turn)))
+    if turn == 0:
+        spread = spread.join(known, "gid")
+    hubs = spread.groupBy("token").agg(F.max(F.struct(weigh.alias("w"), "gid", "n", "pos", "low", "high", "classes")).alias("h"), F.min("low").alias("l"), F.max("high").alias("u"), F.count("*").alias("k"))
+    hubs = hubs.where("l <> u").select("token", F.col("h.gid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"), F.col("h.low").alias("hub_low"), F.col("h.high").alias("hub_high"), F.col("h.classes").alias("hub_classes"), "k")
+    met = spread.join(hubs, "token")
+    meets = (F.col("gid") != F.col("hub")) & alike("n", "pos", "hub_n", "hub_pos", percent) & ~settled("", "hub_")
+    # a hub of one class has met all; with two groups left nothing stays
+    stays = ~((F.col("gid") == F.col("hub")) & (F.col("hub_classes") == 1)) & (F.col("k") - (F.col("hub_classes") == 1).cast("int") > 1)
+    return met.select("token", "gid", "n", "pos", "hub", meets.alias("meets"), stays.alias("stays")).where("meets or stays")
+
+
+def rest_pairs(live: DataFrame, state: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (left, right) that share a shingle, don't lie in one component and may be alike.
+
+    Of each shingle the groups outside its largest component meet all groups; those inside it needn't meet each other.
+    """
+    spread = materialise(live.join(state, "gid").join(sketches, "gid", "left"), "jaccard-rest")
+    sizes = spread.groupBy("token", "low").agg(F.count("*").alias("k"))
+    major = sizes.groupBy("token").agg(F.max(F.struct("k", "low")).alias("m")).select("token", F.col("m.low").alias("major"))
+    placed = spread.join(major, "token").withColumn("minor", ~F.expr("low = high AND low = major")).drop("major")
+    x, y = placed.where("minor").alias("x"), placed.alias("y")
+    near = x.join(y, "token").where("x.gid < y.gid OR (NOT y.minor AND x.gid <> y.gid)").where(~settled("x.", "y.")).where(alike("x.n", "x.pos", "y.n", "y.pos", percent)).where(close("x.sketch", "x.n", "y.sketch", "y.n", percent))
+    return near.select(F.least("x.gid", "y.gid").alias("left"), F.greatest("x.gid", "y.gid").alias("right")).distinct()
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (set size) and component (smallest doc_id that links reach) of every row; a null doc_id has no component."""
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    signed_full = signatures(docs, words, percent)
-    signed_rows = materialise(signed_full.drop("prefix"), "jaccard-rows")
+    full = signatures(docs, words, percent)
+    signed_rows = materialise(full.drop("prefix", "sketch"), "jaccard-rows")
     whole = signed_rows.where("n > 0 and doc_id is not null")
-    classes_full = materialise(
-        signed_full.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "prefix")).alias("m")).select("n", "s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.prefix").alias("prefix"), F.md5("m.prefix").alias("key")),
-        "jaccard-classes",
-    )
-    discard(signed_full)
-    release(docs.sparkSession)
-    classes = materialise(classes_full.drop("prefix"), "jaccard-keys")
-    heads = classes.groupBy("n", "key").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
-    members = materialise(classes.join(heads, ["n", "key"]).select("rep", "gid", "size"), "jaccard-members")
+    least = F.min(F.struct("doc_id", "prefix", "sketch")).alias("m")
+    classes_full = materialise(full.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(least).select("n", "s1", "s2", F.col("m.doc_id").alias("rep"), "m.prefix", "m.sketch", F.md5("m.prefix").alias("key")), "jaccard-classes")
+    discard(full)
+    release(spark)
+    classes = classes_full.drop("prefix", "sketch")
+    heads = classes.groupBy("n", "key").agg(F.min("rep").alias("gid"))
+    members = materialise(classes_full.drop("prefix").join(heads, ["n", "key"]).select("n", "s1", "s2", "rep", "gid", "sketch"), "jaccard-members")
     # a group's representative carries the prefix for all; classes of one doc_id may be several, and each is a carrier
     carriers = members.where("rep = gid").select("rep").distinct()
-    groups = classes_full.join(carriers, "rep", "left_semi").select(F.col("rep").alias("gid"), "n", "prefix")
-    shared = prefix_rows(groups)
+    shared = prefix_rows(classes_full.join(carriers, "rep", "left_semi").select(F.col("rep").alias("gid"), "n", "prefix"))
     discard(classes_full)
-    release(docs.sparkSession)
-    central = shared.groupBy("gid").agg(F.count("*").alias("known"))
-    several = members.where("size > 1")
+    release(spark)
+    known = shared.groupBy("gid").agg(F.count("*").alias("known"))
+    sizes = members.groupBy("gid").agg(F.count("*").alias("classes"))
+    several = sizes.where("classes > 1").select("gid")
+    # classes that share nothing with another, in a group of their own, have no links
+    active = materialise(members.join(known.select("gid").union(several).distinct(), "gid", "left_semi").select("rep", "gid", "n", "sketch"), "jaccard-active")
+    sketches = active.groupBy("gid").agg(F.min("sketch").alias("sketch"), F.count("*").alias("classes")).where("classes = 1").select("gid", "sketch")
 
     # rows of one doc_id with different texts belong together
     repeated = whole.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    links = materialise(whole.join(repeated, "doc_id").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select(*oriented(F.col("doc_id"), F.col("rep"))).where("a <> b").distinct(), "jaccard-links")
-    comps = components(links, "jaccard")
-
-    for turn in range(HUB_ROUNDS + 1):
-        at = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", F.coalesce("component", "rep").alias("comp"))
-        at = materialise(at, "jaccard-state")
-        # a group that lies in one component is settled inside; its component stands for it
-        state = at.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        spread = shared.join(state, "gid")
-        if turn < HUB_ROUNDS:
-            weigh = F.struct("known", -F.col("gid")) if turn == 0 else F.struct(F.xxhash64("gid", F.lit(turn)), -F.col("gid"))
-            ranked = spread.join(central, "gid")
-            hubs = ranked.groupBy("token").agg(F.max(F.struct(weigh.alias("w"), "gid", "n", "pos", "low", "high")).alias("h"), F.min("low").alias("l"), F.max("high").alias("u")).where("l <> u").select("token", "h.*")
-            pairs = spread.alias("x").join(hubs.alias("y"), "token").where(alike("x", "y", percent)).where("x.low <> y.low or x.high <> y.high or x.low <> x.high").select(F.col("y.gid").alias("hub"), F.col("x.gid").alias("gid")).distinct()
-            pairs = pairs.union(several.select(F.col("gid").alias("hub"), "gid").distinct())
-            home = at.select(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")).distinct()
-            proposed = pairs.join(at, "gid").join(home, "hub").where("comp <> hub_comp and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    same = whole.join(repeated, "doc_id").join(members.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select(*oriented(F.col("doc_id"), F.col("rep"))).where("a <> b").distinct()
+    comps = components(same, "jaccard")
+
+    live, turn, links = shared, 0, 0
+    while True:
+        at = materialise(active.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", "n", "sketch", F.coalesce("component", "rep").alias("comp")), "jaccard-state")
+        state = at.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("classes"))
+        last = turn >= HUB_ROUNDS and not links
+        if last:
+            pairs = rest_pairs(live, state, sketches, percent).union(state.where("low <> high").select(F.col("gid").alias("left"), F.col("gid").alias("right")))
+            one = lambda side, k: at.select(F.col("gid").alias(side), F.col("rep").alias(f"r{k}"), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+            both = pairs.join(one("left", 1), "left").join(one("right", 2), "right")
         else:
-            live = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("u")).where("l <> u").select("token")
-            rest = spread.join(live, "token", "left_semi")
-            pairs = rest.alias("x").join(rest.alias("y"), "token").where("x.gid < y.gid").where(alike("x", "y", percent)).where("x.low <> y.low or x.high <> y.high or x.low <> x.high")
-            pairs = pairs.select(F.col("x.gid").alias("left"), F.col("y.gid").alias("right")).distinct()
-            pairs = pairs.union(state.where("low <> high").select(F.col("gid").alias("left"), F.col("gid").alias("right")))
-            one = at.select(F.col("gid").alias("left"), F.col("rep").alias("r1"), F.col("comp").alias("c1"))
-            two = at.select(F.col("gid").alias("right"), F.col("rep").alias("r2"), F.col("comp").alias("c2"))
-            proposed = pairs.join(one, "left").join(two, "right").where("c1 <> c2").select(*oriented(F.col("r1"), F.col("r2")))
-        proposed = materialise(proposed.distinct(), "jaccard-pairs")
-        if proposed.isEmpty():
-            discard(proposed)
-            if turn >= HUB_ROUNDS:
-                break
-            continue
-        sets = sets_of(docs, proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
-        release(docs.sparkSession)
-        found = verify(proposed, sets, percent).select(*oriented(F.col("a"), F.col("b")))
-        links = materialise(links.union(found), "jaccard-links")
-        discard(sets)
+            met = materialise(hub_round(live, state, turn, percent, known), "jaccard-met")
+            if live is not shared:
+                discard(live)
+            pairs = met.where("meets").select("hub", "gid")
+            if turn == 0:
+                pairs = pairs.union(several.select(F.col("gid").alias("hub"), "gid"))
+            hubs = at.where("rep = gid").select(F.col("gid").alias("hub"), F.col("rep").alias("r1"), F.col("comp").alias("c1"), F.col("n").alias("n1"), F.col("sketch").alias("s1")).distinct()
+            both = pairs.distinct().join(at.select("gid", F.col("rep").alias("r2"), F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "gid").join(hubs, "hub")
+        proposed = both.where("c1 <> c2").where(close("s1", "n1", "s2", "n2", percent)).select(*oriented(F.col("r1"), F.col("r2"))).distinct()
+        proposed = materialise(proposed, "jaccard-pairs")
+        if not last:
+            live = materialise(met.where("stays").select("token", "gid", "n", "pos"), "jaccard-live")
+            discard(met)
+        links = 0
+        if not proposed.isEmpty():
+            sets = sets_of(docs, proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
+            release(spark)
+            found = materialise(verify(proposed, sets, percent), "jaccard-links")
+            discard(sets)
+            links = found.count()
+            if links:
+                comps = merged(comps, found)
+            discard(found)
         discard(proposed)
-        release(docs.sparkSession)
-        comps = components(links, "jaccard")
-    keyed = signed_rows.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        discard(at)
+        release(spark)
+        if last:
+            break
+        turn += 1
+    keyed = signed_rows.join(members.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return keyed.select("doc_id", F.col("n"), alone.alias("component"))
 
@@ -298,16 +381,17 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     A bitmap of the ids to drop lets most texts stay where they are; only rows that it can't clear go through the join.
     """
+    node, hashed = unused(docs.columns, "_node"), unused(docs.columns, "_hash")
     drop = materialise(join(docs, words, percent).where("component <> doc_id").select(F.col("doc_id").alias("node")).distinct(), "jaccard-dropped")
     release(docs.sparkSession)
     bitmap, bits = id_filter(drop)
     columns = docs.columns
-    keyed = docs.withColumn("_h", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(bits)), F.lit(0)))
+    keyed = docs.withColumn(hashed, F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(bits)), F.lit(0)))
 
     def part(hit: bool) -> DataFrame:
         def make():
             def one(batch):
-                h = batch.column("_h").to_numpy(zero_copy_only=False)
+                h = batch.column(hashed).to_numpy(zero_copy_only=False)
                 keep = np.flatnonzero(((bitmap[h >> 5] >> (h & 31).astype(np.uint32)) & 1) == int(hit))
                 if len(keep):
                     yield batch.take(pa.array(keep)).select(columns)
@@ -316,8 +400,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
         return arrow_pass(keyed, make, docs.schema)
 
-    rest = part(True).join(drop, F.col("doc_id") == F.col("node"), "left_anti").select(*columns)
-    return part(False).union(rest)
+    gone = drop.withColumnRenamed("node", node)
+    return part(False).union(part(True).join(gone, F.col("doc_id") == F.col(node), "left_anti").select(*columns))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

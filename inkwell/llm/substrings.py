@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_pass, materialise, mix64, record, table, texts
+from inkwell.llm.common import arrow_pass, by_bucket, in_bitmap, materialise, mix64, record, repeated_filter, table, texts
 
 LENGTH, KEY = 50, 26
 #: Starts of strings around one anchor, and bytes of its context.
@@ -92,14 +92,6 @@ def context_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(rolling(framed, CONTEXT)[at + CONTEXT - (STARTS - 1)] ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def by_bucket(h: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """The buckets that hashes fall into, each with their places."""
-    b = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    found, first = np.unique(b[order], return_index=True)
-    return [(int(k), part) for k, part in zip(found, np.split(order, first[1:]), strict=True)]
-
-
 def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts(batch)]
 
@@ -108,81 +100,9 @@ def one_table(parts) -> dict[str, list]:
     return parts.to_pydict()
 
 
-def repeated_filter(docs: DataFrame, buckets: int) -> np.ndarray:
-    """A bitmap, of FILTER_BITS at most, of the anchor hashes that several rows hold."""
-    sent = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("several", pa.binary())])
-
-    def make():
-        held: list[np.ndarray] = []
-        size = [0]
-
-        def flush():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            size[0] = 0
-            for b, part in by_bucket(h, buckets):
-                yield record(sent, bucket=[b], hashes=[h[part].tobytes()], several=[np.packbits(n[part] > 1).tobytes()])
-
-        def one(batch):
-            for raw in raw_texts(batch):
-                h = np.unique(anchors(np.frombuffer(raw, np.uint8))[1])
-                held.append(h)
-                size[0] += len(h)
-            if size[0] >= 2_000_000:
-                yield from flush()
-
-        def finish():
-            if size[0]:
-                yield from flush()
-
-        one.finish = finish
-        return one
-
-    marked = pa.schema([("word", pa.int32()), ("bits", pa.int64())])
-    parts = arrow_pass(docs.select("text"), make, "bucket int, hashes binary, several binary")
-
-    def reduce(group: pa.Table) -> pa.Table:
-        cols = one_table(group)
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in cols["hashes"]])
-        s = np.concatenate([np.unpackbits(np.frombuffer(y, np.uint8), count=len(x) // 8) for x, y in zip(cols["hashes"], cols["several"], strict=True)])
-        order = np.argsort(h, kind="stable")
-        h, s = h[order], s[order].astype(bool)
-        same = np.concatenate([h[1:] == h[:-1], [False]])
-        again = np.unique(h[s | same])
-        at = (again & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-        words, where = np.unique(at >> 5, return_inverse=True)
-        bits = np.zeros(len(words), np.uint32)
-        np.bitwise_or.at(bits, where, np.uint32(1) << (at & 31).astype(np.uint32))
-        return pa.Table.from_batches([record(marked, word=words.astype(np.int32), bits=bits.astype(np.int64))])
-
-    words = parts.groupBy("bucket").applyInArrow(reduce, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    held = arrow_pack(words)
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for part in held.toLocalIterator():
-        out[np.frombuffer(part.words, np.int32)] = np.frombuffer(part.bits, np.uint32)
-    return out
-
-
-def arrow_pack(words: DataFrame) -> DataFrame:
-    """(words, bits) as few binary rows: at most FILTER_BITS / 32 entries in all."""
-    schema = pa.schema([("words", pa.binary()), ("bits", pa.binary())])
-
-    def make():
-        w, b = [], []
-
-        def one(batch):
-            w.append(batch.column("word").to_numpy().astype(np.int32))
-            b.append(batch.column("bits").to_numpy().astype(np.uint32))
-            return ()
-
-        def finish():
-            if w:
-                yield record(schema, words=[np.concatenate(w).tobytes()], bits=[np.concatenate(b).tobytes()])
-
-        one.finish = finish
-        return one
-
-    return arrow_pass(words, make, "words binary, bits binary")
+def repeated_anchors(docs: DataFrame, buckets: int) -> np.ndarray:
+    """A bitmap of the anchor hashes that several rows hold."""
+    return repeated_filter(docs.select("text"), lambda batch: (np.unique(anchors(np.frombuffer(raw, np.uint8))[1]) for raw in raw_texts(batch)), buckets, FILTER_BITS)
 
 
 PACKED = "packet long, doc_ids binary, sizes binary, body binary, n_anchors binary, at binary, done_id long, done_bytes long, done_sha string"
@@ -210,8 +130,7 @@ def packets(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
             done = []
             for key, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch), strict=True):
                 at, h = anchors(np.frombuffer(raw, np.uint8))
-                low = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                keep = ((bitmap[low >> 5] >> (low & 31).astype(np.uint32)) & 1).astype(bool)
+                keep = in_bitmap(bitmap, h)
                 if keep.any():
                     held.append((key, raw, at[keep]))
                     state["size"] += len(raw)
@@ -401,7 +320,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; kept bytes of rows that lose some."""
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(4, -(-size // (13 * BUCKET_ENTRIES)))
-    bitmap = repeated_filter(docs, buckets)
+    bitmap = repeated_anchors(docs, buckets)
     found = packets(docs, bitmap)
     answers = first_answers(found, buckets)
     strings = second_answers(found, answers, buckets)

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from inkwell.llm import jaccard
 
 from .helpers import EDGES, documents
@@ -58,3 +60,45 @@ def test_keep_one_and_no_rows(spark, tmp_path):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, (_, c) in want.items() if k == c)
     assert jaccard.join(docs.limit(0)).count() == 0
+
+
+def test_sketches_lose_no_pair_that_is_alike(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for k in range(300):
+        n = int(rng.integers(1, 700))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        cut = int(rng.integers(0, max(1, len(a) // 4) + 1))
+        b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, int(rng.integers(0, max(1, n // 6) + 1)), dtype=np.uint64)]))
+        if not len(b):
+            continue
+        same, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        rows.append((k, jaccard.sketch(a).tolist(), len(a), jaccard.sketch(b).tolist(), len(b)))
+        want.append(100 * same >= 85 * union)
+    df = spark.createDataFrame(rows, "k long, x array<long>, nx long, y array<long>, ny long")
+    got = {r.k: r.ok for r in df.select("k", jaccard.close("x", "nx", "y", "ny", 85).alias("ok")).collect()}
+    assert all(got[r[0]] for r, w in zip(rows, want, strict=True) if w) and sum(want) > 50
+    assert sum(not ok for ok in got.values()) > 50
+
+
+def test_hot_group_of_near_copies(spark, tmp_path):
+    """Many variants of one text, most of them linked, some only among themselves."""
+    rnd = random.Random(9)
+    base = [f"b{k}" for k in range(90)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 4])):
+            w[rnd.randrange(len(w))] = f"v{rnd.randrange(12)}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op7_jaccard(spark, documents(spark, rows, tmp_path)).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", 1, 2, 3, "x"), (2, "a b c d e f g", 4, 5, 6, "y"), (3, "z", 7, 8, 9, "w"), (None, "a b c d e f g", 0, 0, 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, _h long, _hash long, _node string")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.where("doc_id is not null").collect()) == [rows[0], rows[2]]
+    assert kept.where("doc_id is null").count() == 1
