@@ -37,7 +37,6 @@ WORDS, PERCENT = 4, 85
 BUCKET_BITS, COMMON = 22, 8
 #: Hub rounds at least, before the rest is joined in full.
 HUB_ROUNDS = 3
-REMEMBERED = 300_000
 #: Most bits of the bitmap that spares reading texts which no candidate needs, and of the one of shared prefix shingles.
 FILTER_BITS, SHARED_BITS = 1 << 26, 1 << 27
 #: Prefix shingles of one bucket when shared ones are looked for.
@@ -46,29 +45,63 @@ BUCKET_ROWS = 1 << 20
 SKETCH_BITS = 1 << 16
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to REMEMBERED."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingles(text: str, memory: WordHashes, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    split = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not split:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(memory.__getitem__, split), np.uint64, len(split))
-    k = min(words, len(h))
-    out = np.full(len(h) - k + 1, 0x51ED270B + k, np.uint64)
-    for at in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[at : at + len(out)]
-    return np.unique(mix64(out))
+#: Bytes that are hashed in one step, which bounds memory for very long texts.
+SLAB = 1 << 20
+FACTOR = 0x9E3779B97F4A7C15
+WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def powers(base: int, n: int = SLAB) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Words:
+    """64-bit hashes of the words of many texts at once: sums of letters' values times powers of FACTOR, by prefix sums."""
+
+    def __init__(self):
+        self.up, self.down = powers(FACTOR), powers(pow(FACTOR, -1, 1 << 64))
+
+    def of(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts one after another, and where each text's begin (and the last one's end). Only A-Z are lower-cased."""
+        raws = [t.encode("utf-8", "surrogatepass").lower() for t in many]
+        raw = np.frombuffer(b" ".join(raws), np.uint8)
+        inside = ~WHITE[raw]
+        start = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
+        end = np.flatnonzero(inside & np.concatenate([~inside[1:], [True]])) + 1
+        h = np.zeros(len(start), np.uint64)
+        for low in range(0, len(raw), SLAB):
+            part = raw[low : low + SLAB]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(LETTERS[part] * self.up[: len(part)], out=total[1:])
+            a, b = np.searchsorted(end, low, "right"), np.searchsorted(start, low + len(part))
+            if a < b:
+                first, last = np.maximum(start[a:b] - low, 0), np.minimum(end[a:b] - low, len(part))
+                found = (total[last] - total[first]) * self.down[np.minimum(first, SLAB - 1)]
+                if start[a] < low:  # a word that goes on from the step before
+                    found[:1] *= np.uint64(pow(FACTOR, int(low - start[a]), 1 << 64))
+                h[a:b] += found
+        begin = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        return mix64(h + (end - start).astype(np.uint64)), np.searchsorted(start, begin)
+
+
+def shingles(many: list[str], words_of: Words, words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    h, ends = words_of.of(many)
+
+    def runs(x: np.ndarray, k: int) -> np.ndarray:
+        out = np.full(max(0, len(x) - k + 1), 0x51ED270B + k, np.uint64)
+        for at in range(k):
+            out = out * np.uint64(FACTOR) + x[at : at + len(out)]
+        return mix64(out)
+
+    every, found = runs(h, words), []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        x = np.sort(every[a : b - words + 1]) if b - a >= words else runs(h[a:b], b - a) if b > a else h[:0]
+        found.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x)
+    return found
 
 
 def required(n: int, percent: int = PERCENT) -> int:
@@ -99,14 +132,24 @@ def common_buckets(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 
     def make():
-        memory, counts = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int32)
+        words_of, counts, held, size = Words(), np.zeros(1 << BUCKET_BITS, np.int32), [], [0]
+
+        def add():
+            if held:
+                counts[:] += np.bincount(np.concatenate(held), minlength=1 << BUCKET_BITS).astype(np.int32)
+            held.clear()
+            size[0] = 0
 
         def one(batch):
-            found = [shingles(t, memory, words) for t in texts(batch)]
-            np.add.at(counts, (np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+            for h in shingles(texts(batch), words_of, words):
+                held.append((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+                size[0] += len(h)
+            if size[0] >= 1 << BUCKET_BITS:
+                add()
             return ()
 
         def finish():
+            add()
             hot = np.flatnonzero(counts >= COMMON)
             yield record(schema, bucket=hot.astype(np.int32), n=counts[hot].astype(np.int64))
 
@@ -124,17 +167,14 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def make():
-        memory = WordHashes()
-        known = np.append(buckets, 1 << BUCKET_BITS)
-        often = np.append(counts, 0)
+        words_of = Words()
+        often = np.zeros(1 << BUCKET_BITS, np.int32)
+        often[buckets] = counts
 
         def one(batch):
             n, s1, s2, prefixes, sketches = [], [], [], [], []
-            for text in texts(batch):
-                h = shingles(text, memory, words)
-                bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-                at = np.searchsorted(known, bucket)
-                rank = np.where(known[at] == bucket, often[at], 0)
+            for h in shingles(texts(batch), words_of, words):
+                rank = often[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 n.append(len(h))
                 s1.append(int(signed(mix64(h + np.uint64(1)).sum(dtype=np.uint64).reshape(1))[0]) if len(h) else 0)
                 s2.append(int(signed(mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).reshape(1))[0]) if len(h) else 0)
@@ -150,8 +190,8 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return materialise(arrow_pass(docs.select("doc_id", "text"), make, "doc_id long, n long, s1 long, s2 long, prefix binary, sketch array<long>"), "jaccard-signatures")
 
 
-def prefix_rows(groups: DataFrame) -> DataFrame:
-    """token, gid, n and pos: a row for each prefix shingle of each group that another group shares. A bitmap holds back most others before the shuffle; counts decide."""
+def prefix_rows(groups: DataFrame, percent: int) -> DataFrame:
+    """token, gid, n and pos: a row for each prefix shingle of each group that another group shares and may be alike. A bitmap holds back most others before the shuffle; counts decide."""
     total = groups.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     of = lambda batch: (np.frombuffer(p, "<u8") for p in batch.column("prefix").to_pylist())
     bitmap = repeated_filter(groups.select("prefix"), of, max(4, -(-total // (8 * BUCKET_ROWS))), SHARED_BITS)
@@ -175,8 +215,12 @@ def prefix_rows(groups: DataFrame) -> DataFrame:
         return one
 
     rows = materialise(arrow_pass(groups.select("gid", "n", "prefix"), make, "token long, gid long, n int, pos int"), "jaccard-prefixes")
-    several = rows.groupBy("token").agg(F.count("*").alias("sharers")).where("sharers > 1").select("token")
-    shared = materialise(rows.join(several, "token"), "jaccard-shared")
+    # of two groups it is plain at once whether they may be alike; of more, a row needs room beside the smallest size that may go with it
+    several = rows.groupBy("token").agg(F.count("*").alias("sharers"), F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.col("n") - F.col("pos")).alias("left"))
+    fits = f"CAST(least AS long) * 100 >= CAST(most AS long) * {percent} AND CAST(left AS long) * {100 + percent} >= (CAST(least AS long) + most) * {percent}"
+    several = several.where(f"sharers > 2 OR (sharers = 2 AND {fits})").select("token", "least")
+    room = f"CAST(n - pos AS long) * {100 + percent} >= (n + GREATEST(CAST(least AS long), CEIL(n * {percent} / 100.0))) * {percent}"
+    shared = materialise(rows.join(several, "token").where(room).drop("least"), "jaccard-shared")
     discard(rows)
     return shared
 
@@ -216,14 +260,14 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def make():
-        memory = WordHashes()
+        words_of = Words()
 
         def one(batch):
             h = batch.column("h").to_numpy(zero_copy_only=False)
             keep = np.flatnonzero((bitmap[h >> 5] >> (h & 31).astype(np.uint32)) & 1)
             if len(keep):
                 picked = batch.take(pa.array(keep))
-                yield record(schema, node=picked.column("doc_id"), shingles=[packed(shingles(t, memory, words)) for t in texts(picked)])
+                yield record(schema, node=picked.column("doc_id"), shingles=[*map(packed, shingles(texts(picked), words_of, words))])
 
         return one
 
@@ -242,7 +286,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
                 u, v = unpacked(x), unpacked(y)
-                inter = len(u) + len(v) - len(np.union1d(u, v))
+                both_ = np.sort(np.concatenate([u, v]))  # each side's are distinct
+                inter = int((both_[1:] == both_[:-1]).sum())
                 keep.append(100 * inter >= percent * (len(u) + len(v) - inter) and inter > 0)
             chosen = np.flatnonzero(keep)
             yield record(schema, a=batch.column("a").take(pa.array(chosen)), b=batch.column("b").take(pa.array(chosen)))
@@ -287,12 +332,43 @@ def hub_round(live: DataFrame, state: DataFrame, turn: int, percent: int, known:
     return met.select("token", "gid", "n", "pos", "hub", meets.alias("meets"), stays.alias("stays")).where("meets or stays")
 
 
+def nodes_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose node a bitmap of the ids (node) lets pass: all of the ids', and a few others."""
+    bitmap, bits = id_filter(ids)
+    columns = rows.columns
+
+    def make():
+        def one(batch):
+            h = batch.column("_h").to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero((bitmap[h >> 5] >> (h & 31).astype(np.uint32)) & 1)
+            if len(keep):
+                yield batch.take(pa.array(keep)).select(columns)
+
+        return one
+
+    return arrow_pass(rows.withColumn("_h", F.pmod(F.xxhash64("node"), F.lit(bits))), make, rows.schema)
+
+
+def sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches leave room for, materialised."""
+    wide = materialise(pairs, "jaccard-proposed")
+    needed = materialise(nodes_in(sketches, wide.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "jaccard-sketches")
+    end = lambda x: needed.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    near = wide.join(end("b"), "b").join(end("a"), "a").where(close("sa", "na", "sb", "nb", percent)).select("a", "b").distinct()
+    out = materialise(near, "jaccard-pairs")
+    discard(needed)
+    discard(wide)
+    return out
+
+
 def rest_pairs(live: DataFrame, state: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups (left, right) that share a shingle, don't lie in one component and may be alike.
 
     Of each shingle the groups outside its largest component meet all groups; those inside it needn't meet each other.
     """
-    spread = materialise(live.join(state, "gid").join(sketches, "gid", "left"), "jaccard-rest")
+    # a group of several classes has as many sketches, and is let pass
+    own = nodes_in(sketches.select("node", "sketch"), live.select(F.col("gid").alias("node")).distinct()).withColumnRenamed("node", "gid")
+    spread = materialise(live.join(state, "gid").join(own.groupBy("gid").agg(F.min("sketch").alias("sketch")), "gid", "left").withColumn("sketch", F.when(F.col("classes") == 1, F.col("sketch"))), "jaccard-rest")
     sizes = spread.groupBy("token", "low").agg(F.count("*").alias("k"))
     major = sizes.groupBy("token").agg(F.max(F.struct("k", "low")).alias("m")).select("token", F.col("m.low").alias("major"))
     placed = spread.join(major, "token").withColumn("minor", ~F.expr("low = high AND low = major")).drop("major")
@@ -315,17 +391,17 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     classes = classes_full.drop("prefix", "sketch")
     heads = classes.groupBy("n", "key").agg(F.min("rep").alias("gid"))
     members = materialise(classes_full.drop("prefix").join(heads, ["n", "key"]).select("n", "s1", "s2", "rep", "gid", "sketch"), "jaccard-members")
-    # a group's representative carries the prefix for all; classes of one doc_id may be several, and each is a carrier
-    carriers = members.where("rep = gid").select("rep").distinct()
-    shared = prefix_rows(classes_full.join(carriers, "rep", "left_semi").select(F.col("rep").alias("gid"), "n", "prefix"))
+    # a group's representative carries the prefix for all; classes that don't are few, as a rule
+    carried = materialise(members.where("rep <> gid").select("n", "s1", "s2"), "jaccard-carried")
+    shared = prefix_rows(classes_full.join(carried, ["n", "s1", "s2"], "left_anti").select(F.col("rep").alias("gid"), "n", "prefix"), percent)
     discard(classes_full)
     release(spark)
     known = shared.groupBy("gid").agg(F.count("*").alias("known"))
     sizes = members.groupBy("gid").agg(F.count("*").alias("classes"))
     several = sizes.where("classes > 1").select("gid")
     # classes that share nothing with another, in a group of their own, have no links
-    active = materialise(members.join(known.select("gid").union(several).distinct(), "gid", "left_semi").select("rep", "gid", "n", "sketch"), "jaccard-active")
-    sketches = active.groupBy("gid").agg(F.min("sketch").alias("sketch"), F.count("*").alias("classes")).where("classes = 1").select("gid", "sketch")
+    active = materialise(members.join(known.select("gid").union(several).distinct(), "gid", "left_semi").select("rep", "gid"), "jaccard-active")
+    sketches = members.select(F.col("rep").alias("node"), "n", "sketch")
 
     # rows of one doc_id with different texts belong together
     repeated = whole.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
@@ -334,12 +410,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
     live, turn, links = shared, 0, 0
     while True:
-        at = materialise(active.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", "n", "sketch", F.coalesce("component", "rep").alias("comp")), "jaccard-state")
+        at = materialise(active.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", F.coalesce("component", "rep").alias("comp")), "jaccard-state")
         state = at.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("classes"))
-        last = turn >= HUB_ROUNDS and not links
+        last = turn >= HUB_ROUNDS or turn > 0 and not links
         if last:
             pairs = rest_pairs(live, state, sketches, percent).union(state.where("low <> high").select(F.col("gid").alias("left"), F.col("gid").alias("right")))
-            one = lambda side, k: at.select(F.col("gid").alias(side), F.col("rep").alias(f"r{k}"), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+            one = lambda side, k: at.select(F.col("gid").alias(side), F.col("rep").alias(f"r{k}"), F.col("comp").alias(f"c{k}"))
             both = pairs.join(one("left", 1), "left").join(one("right", 2), "right")
         else:
             met = materialise(hub_round(live, state, turn, percent, known), "jaccard-met")
@@ -348,10 +424,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             pairs = met.where("meets").select("hub", "gid")
             if turn == 0:
                 pairs = pairs.union(several.select(F.col("gid").alias("hub"), "gid"))
-            hubs = at.where("rep = gid").select(F.col("gid").alias("hub"), F.col("rep").alias("r1"), F.col("comp").alias("c1"), F.col("n").alias("n1"), F.col("sketch").alias("s1")).distinct()
-            both = pairs.distinct().join(at.select("gid", F.col("rep").alias("r2"), F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "gid").join(hubs, "hub")
-        proposed = both.where("c1 <> c2").where(close("s1", "n1", "s2", "n2", percent)).select(*oriented(F.col("r1"), F.col("r2"))).distinct()
-        proposed = materialise(proposed, "jaccard-pairs")
+            hubs = at.where("rep = gid").select(F.col("gid").alias("hub"), F.col("rep").alias("r1"), F.col("comp").alias("c1")).distinct()
+            both = pairs.distinct().join(at.select("gid", F.col("rep").alias("r2"), F.col("comp").alias("c2")), "gid").join(hubs, "hub")
+        proposed = sketched(both.where("c1 <> c2").select(*oriented(F.col("r1"), F.col("r2"))).distinct(), sketches, percent)
         if not last:
             live = materialise(met.where("stays").select("token", "gid", "n", "pos"), "jaccard-live")
             discard(met)
