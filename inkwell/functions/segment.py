@@ -1,29 +1,57 @@
-"""Second rule set: sentence boundaries with citations, initials, abbreviations and ambiguous cases told apart."""
+"""Second rule set: sentence boundaries, decided by a table of rules for the stops of a paragraph.
+
+Each rule is a pattern for a stop with what must stand around it; the first that fits a stop decides. All rules
+together are one expression, which goes once through the paragraph. A stop that ends a sentence takes closing marks,
+citations and the white space after it along.
+"""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
+import regex
+
 #: Abbreviations (last word before the period) and beginnings that may be in lower case.
-ABBREVIATIONS = frozenset("st syn sp spp fig figs dr prof eq eqs ref refs vs no mr mrs ms cf approx inc dept vol pp jan feb mar apr jun jul aug sep sept oct nov dec".split())
-LOWER_STARTS = re.compile(r"(?:fNIRS|miR\d+[A-Za-z]*|mRNA|iPSC\w*|pH\b|eIF\w*|siRNA|ncRNA|lncRNA|COVID\w*)")
+ABBREVIATIONS = "st syn sp spp fig figs dr prof eq eqs ref refs vs no mr mrs ms cf approx inc dept vol pp jan feb mar apr jun jul aug sep sept oct nov dec".split()
+LOWER_STARTS = r"fNIRS|miR\d+[A-Za-z]*|mRNA|iPSC\w*|pH\b|eIF\w*|siRNA|ncRNA|lncRNA|COVID\w*"
 #: In-band marks around bibliographic references and formulas.
 REF_OPEN, REF_CLOSE, FORMULA = "", "", ""
 
-STOP = re.compile(r"[.!?]")
-DECIMAL = re.compile(r"\d\.\d")
-LAST_WORD = re.compile(r"([A-Za-z]+)$")
-ET_AL = re.compile(r"\bet\s+al$", re.IGNORECASE)
-ET_AL_GOES_ON = re.compile(r"\s*(?:\(|\d{4}\b|[,;]|[a-z])")
-DOTTED = re.compile(r"(?:[A-Za-z]\.)+[A-Za-z]$")
-AUTHOR = re.compile(r"\s+(?:[A-Z][a-z]+|[A-Z]\.\s+[A-Z][a-z]+|\([A-Z][a-z]+\))")
-CLOSERS = re.compile(r"[\"”’')]*")
-BRACKETED = re.compile(rf"\s*\[[\d,\s–{REF_OPEN}{REF_CLOSE}-]+\]")
-REFERENCE = re.compile(rf"(?:\s*{REF_OPEN}[^{REF_CLOSE}]*{REF_CLOSE})(?:[,–-]?\s*{REF_OPEN}[^{REF_CLOSE}]*{REF_CLOSE})*")
-OPEN_REFERENCE = re.compile(rf"\s*{REF_OPEN}[^{REF_CLOSE}]*$")
-SUPERSCRIPT = re.compile(r"\d+(?:[–-]\d+)?(?:,\s*\d+(?:[–-]\d+)?)*")
-GAP = re.compile(r"\s+")
+GAP = regex.compile(r"\s+")
+CITED = rf"\s*{REF_OPEN}[^{REF_CLOSE}]*{REF_CLOSE}"
+CITATIONS = rf"{CITED}(?:[,–-]?{CITED})*"
+BRACKETS = rf"\s*\[[\d,\s–{REF_OPEN}{REF_CLOSE}-]+\]"
+RAISED = r"\d+(?:[–-]\d+)?(?:,\s*\d+(?:[–-]\d+)?)*"
+#: What may stand between a stop and the next sentence, and how that begins.
+CLOSED = r"(?>[\"”’')]*)"
+TAIL = rf"{CLOSED}(?>{BRACKETS}(?:{CITATIONS})?|{CITATIONS}|(?:{RAISED})?)"
+OPENER = r"[\p{Uppercase}\p{Nd}\p{Numeric_Type=Digit}\"“'(\[{]"
+NAMED = r"\s+(?:[A-Z][a-z]+|[A-Z]\.\s+[A-Z][a-z]+|\([A-Z][a-z]+\))"
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A stop that fits the pattern ends a sentence or not, and is noted under the flag if there is one."""
+
+    pattern: str
+    ends: bool = False
+    flag: str | None = None
+
+
+RULES = (
+    Rule(r"(?<=\d)\.(?=\d)"),
+    Rule(r"(?<=(?<![\w\p{N}])(?i:et\s+al)\n?)\.(?=\s*(?:\(|\d{4}\b|[,;]|[a-z]))"),
+    Rule(r"(?<=(?<![\w\p{N}])(?i:et\s+al)\n?)\.", flag="ambiguous_et_al_terminal"),
+    Rule(rf"(?<=(?<![A-Za-z])(?i:{'|'.join(ABBREVIATIONS)})\n?)\."),
+    Rule(r"(?<=[A-Za-z]\.[A-Za-z]\n?)\."),
+    Rule(r"(?<=(?<![A-Za-z])[Pp]\n?)\.(?=\s+\d)"),
+    Rule(rf"(?<=(?<![\p{{L}}\p{{N}}])[A-Za-z])\.(?={NAMED})"),
+    Rule(rf"[.!?](?={CLOSED}(?>{BRACKETS})?+\s*{REF_OPEN}[^{REF_CLOSE}]*\Z)", flag="unclosed_xref_marker"),
+    Rule(rf"[.!?]{TAIL}(?:\s*\Z|\s+(?={OPENER}))", ends=True),
+    Rule(rf"[.!?]{TAIL}\s+(?={LOWER_STARTS})", ends=True, flag="lowercase_technical_start"),
+    Rule(rf"[.!?](?={TAIL}\s)", flag="possible_lowercase_sentence_start"),
+)
+STOPS = regex.compile("|".join(f"(?P<r{k}>{rule.pattern})" for k, rule in enumerate(RULES)))
 
 
 @dataclass
@@ -36,68 +64,20 @@ class Segments:
 
 
 def plain(text: str) -> str:
-    for mark in (REF_OPEN, REF_CLOSE, FORMULA):
-        text = text.replace(mark, "")
-    return GAP.sub(" ", text).strip()
-
-
-def inner_period(text: str, at: int, flags: list[str]) -> bool:
-    """Whether the period belongs to a number, an abbreviation or an initial."""
-    if at and DECIMAL.match(text, at - 1):
-        return True
-    left = text[max(0, at - 28) : at]
-    if ET_AL.search(left):
-        if not ET_AL_GOES_ON.match(text, at + 1):
-            flags.append("ambiguous_et_al_terminal")
-        return True
-    word = LAST_WORD.search(left)
-    token = word[1].casefold() if word else ""
-    if token in ABBREVIATIONS or DOTTED.search(left) or token == "p" and re.match(r"\s+\d", text[at + 1 : at + 12]):
-        return True
-    return len(token) == 1 and not text[at - 2 : at - 1].isalnum() and bool(AUTHOR.match(text, at + 1))
-
-
-def end_of_sentence(text: str, at: int, flags: list[str]) -> int | None:
-    """Where the next sentence begins if the stop at ``at`` ends one: closing marks and citations go with the sentence."""
-    if text[at] == "." and inner_period(text, at, flags):
-        return None
-    after = closed = CLOSERS.match(text, at + 1).end()
-    if m := BRACKETED.match(text, after):
-        after = m.end()
-    if OPEN_REFERENCE.match(text, after):
-        flags.append("unclosed_xref_marker")
-        return None
-    if m := REFERENCE.match(text, after):
-        after = m.end()
-    if after == closed and (m := SUPERSCRIPT.match(text, after)):
-        after = m.end()
-    if after == len(text):
-        return after
-    gap = GAP.match(text, after)
-    if not gap:
-        return None
-    following = text[gap.end() : gap.end() + 24]
-    if not following or following[0].isupper() or following[0].isdigit() or following[0] in "\"“'([{":
-        return gap.end()
-    if LOWER_STARTS.match(following):
-        flags.append("lowercase_technical_start")
-        return gap.end()
-    flags.append("possible_lowercase_sentence_start")
-    return None
+    """The text without marks, white space collapsed."""
+    return GAP.sub(" ", text.translate(dict.fromkeys(map(ord, (REF_OPEN, REF_CLOSE, FORMULA))))).strip()
 
 
 def segment(text: str, limit: int | None = None) -> Segments:
     """The sentences of a paragraph, limit of them at most."""
-    out, start = Segments(), 0
-    stop = STOP.search(text)
-    while stop and (limit is None or len(out.spans) < limit):
-        end = end_of_sentence(text, stop.start(), out.flags)
-        if end is None:
-            stop = STOP.search(text, stop.start() + 1)
-            continue
-        if plain(text[start:end]):
-            out.spans.append((start, end))
-        start = end
-        stop = STOP.search(text, end)
-    out.rest = start
+    out = Segments()
+    for stop in STOPS.finditer(text) if limit is None or limit > 0 else ():
+        rule = RULES[int(stop.lastgroup[1:])]
+        out.flags += [rule.flag] * (rule.flag is not None)
+        if rule.ends:
+            if plain(text[out.rest : stop.end()]):
+                out.spans.append((out.rest, stop.end()))
+            out.rest = stop.end()
+            if len(out.spans) == limit:
+                break
     return out

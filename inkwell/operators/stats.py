@@ -6,7 +6,12 @@ negative log likelihood is its unit price in thousands. Every statistic is taken
 
 from __future__ import annotations
 
-from inkwell.plans.dialect import Dialect
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from inkwell.functions.statistics import resampled_means
+from inkwell.plans.dialect import Dialect, SparkDialect
 
 #: The reference's paired analysis.
 REPLICATES = 20_000
@@ -112,6 +117,34 @@ def hash_bootstrap(d: Dialect) -> str:
     SELECT batch, CAST(count(*) AS BIGINT) AS replicates, round({d.percentile('mean', 0.025)}, 6) AS low, round({d.percentile('mean', 0.975)}, 6) AS high FROM means GROUP BY batch"""
 
 
+def seeded_bootstrap(spark: SparkSession, sf_dir: str, seed: int = 20260719, replicates: int = REPLICATES) -> DataFrame:
+    """The interval of the reference's own resampling: Python's stream of the seed, drawn in the order of paper ids.
+
+    That stream has one order, so each batch and comparison is one task, which holds 8 bytes a paper; hash_bootstrap is
+    the form whose draws are dealt out.
+    """
+    diffs = spark.sql(f"WITH {long(SparkDialect(sf_dir, spark))} SELECT batch, comparison, paper, diff FROM diffs")
+
+    def interval(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("paper")
+        means = resampled_means(group["diff"].to_numpy(np.float64), seed, replicates)
+        low, high = np.quantile(means, [0.025, 0.975])
+        return pd.DataFrame({"batch": [group["batch"].iloc[0]], "comparison": [group["comparison"].iloc[0]], "papers": [len(group)], "low": [round(low, 6)], "high": [round(high, 6)]})
+
+    return diffs.groupBy("batch", "comparison").applyInPandas(interval, "batch string, comparison string, papers long, low double, high double")
+
+
+def near_length_ids(d: Dialect) -> str:
+    """Papers of near length, and those of them that got worse, as lists in order."""
+    ids = lambda test: f"coalesce({d.gather(f'CASE WHEN {test} THEN CAST(paper AS STRING) END', 'paper', ',')}, '')"
+    return f"WITH {wide(d)} SELECT batch, {ids('true')} AS near_papers, {ids('d_e > 0')} AS worse_papers FROM wide WHERE r_de BETWEEN 0.95 AND 1.05 GROUP BY batch"
+
+
+def scoring_seconds(d: Dialect) -> str:
+    """Seconds of each batch and arm: the sum over its tokens' tax in thousandths, in whole numbers."""
+    return f"""WITH {scores(d)} SELECT batch, arm, CAST(count(*) AS BIGINT) AS sessions, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, round(sum(round(total, 3)), 2) AS seconds FROM scores GROUP BY batch, arm"""
+
+
 def length_diagnostics(d: Dialect) -> str:
     return f"""WITH {wide(d)} SELECT batch, round({d.percentile('r_de', 0.5)}, 6) AS median_ratio, round(min(r_de), 6) AS least_ratio, round(max(r_de), 6) AS greatest_ratio, CAST(sum(CASE WHEN r_de BETWEEN 0.95 AND 1.05 THEN 1 ELSE 0 END) AS BIGINT) AS near_n,
         round(avg(CASE WHEN r_de BETWEEN 0.95 AND 1.05 THEN d_e END), 6) AS near_mean FROM wide GROUP BY batch"""
@@ -133,4 +166,4 @@ def plot_points(d: Dialect) -> str:
     SELECT batch, comparison, paper, CAST(row_number() OVER (PARTITION BY batch, comparison ORDER BY y, paper) AS BIGINT) AS x, round(y, 6) AS y, CASE WHEN y < 0 THEN 'lower' WHEN y > 0 THEN 'higher' ELSE 'equal' END AS colour FROM exact"""
 
 
-QUERIES = (score_validation, per_paper_wide, paired_differences, macro_mean_nll, distribution_stats, paired_summary, sign_test, spearman_length, leave_one_out, extreme_papers, hash_bootstrap, length_diagnostics, old_new_comparison, posthoc_sensitivity, plot_points)
+QUERIES = (score_validation, per_paper_wide, paired_differences, macro_mean_nll, distribution_stats, paired_summary, sign_test, spearman_length, leave_one_out, extreme_papers, hash_bootstrap, near_length_ids, scoring_seconds, length_diagnostics, old_new_comparison, posthoc_sensitivity, plot_points)

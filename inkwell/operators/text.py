@@ -20,11 +20,13 @@ def clean(d: Dialect, x: str) -> str:
 
 
 def protect(d: Dialect, x: str) -> str:
-    """Periods of abbreviations, in any case, become a mark."""
+    """Periods of abbreviations, in any case, become a mark: one pass for all with one period, and one for each pair of letters."""
+    single = [a[:-1] for a in ABBREVIATIONS if a.count(".") == 1]
     for a in ABBREVIATIONS:
-        parts = a.split(".")[:-1]
-        x = d.replace(x, "(?i)" + "".join(f"({p})[.]" for p in parts), "".join(f"\\{k + 1}{PERIOD}" for k in range(len(parts))))
-    return x
+        if a.count(".") == 2:
+            first, second, _ = a.split(".")
+            x = d.replace(x, f"(?i)({first})[.]({second})[.]", f"\\1{PERIOD}\\2{PERIOD}")
+    return d.replace(x, f"(?i)({'|'.join(single)})[.]", f"\\1{PERIOD}")
 
 
 def chunked(d: Dialect, protected: bool = True) -> str:
@@ -84,7 +86,7 @@ def clean_text(d: Dialect) -> str:
 
 def nonprose_prefix(d: Dialect) -> str:
     """Sentences that open like metadata are left out before the first prose sentence, and flagged after it."""
-    test = " OR ".join(f"lower(sentence) LIKE '{p}%'" for p in (*NONPROSE_PREFIXES, "in ", "the "))
+    test = " OR ".join(f"lower(sentence) LIKE '{p}%'" for p in NONPROSE_PREFIXES)
     return f"""WITH {sentences(d)}, marked AS (SELECT doc_id, n, ({test}) AS nonprose FROM sents),
     begun AS (SELECT doc_id, n, nonprose, max(CASE WHEN NOT nonprose THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS started FROM marked)
     SELECT doc_id, n AS sentence_no, CASE WHEN coalesce(started, 0) = 1 THEN 'metadata_after_narrative_start' ELSE 'omitted_before_narrative' END AS flag FROM begun WHERE nonprose"""
@@ -99,11 +101,24 @@ def sentence_offsets(d: Dialect) -> str:
 
 def boundary_context(d: Dialect) -> str:
     """Up to 200 characters of complete sentences before and after the sixth."""
-    return f"""WITH {sentences(d)}, near AS (SELECT doc_id, n, sentence FROM sents WHERE n <= 12),
-    joined AS (SELECT doc_id, {d.gather('CASE WHEN n < 6 THEN sentence END', 'n', ' ')} AS before_text, {d.gather('CASE WHEN n > 6 THEN sentence END', 'n', ' ')} AS after_text, max(n) AS top FROM near GROUP BY doc_id)
+    taken = "sum(CASE WHEN n > 6 THEN length(sentence) + 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""WITH {sentences(d)}, placed AS (SELECT doc_id, n, sentence, coalesce({taken}, 0) AS taken FROM sents),
+    joined AS (SELECT doc_id, {d.gather('CASE WHEN n < 6 THEN sentence END', 'n', ' ')} AS before_text, {d.gather('CASE WHEN n > 6 THEN sentence END', 'n', ' ')} AS after_text, max(n) AS top FROM placed WHERE taken < 200 GROUP BY doc_id)
     SELECT doc_id, {d.tail('before_text', 200)} AS before_sixth, coalesce(substr(after_text, 1, 200), '') AS after_sixth FROM joined WHERE top >= 6"""
 
 
+def short_included(d: Dialect) -> str:
+    """Documents of which one of the first six sentences has fewer than 20 characters."""
+    return f"WITH {sentences(d)} SELECT doc_id, CAST(sum(CASE WHEN length(sentence) < 20 THEN 1 ELSE 0 END) AS BIGINT) AS short_sentences, min(length(sentence)) < 20 AS rejected FROM sents WHERE n <= 6 GROUP BY doc_id"
+
+
+def match_excerpts(d: Dialect) -> str:
+    """The first decimal or reference number that runs into a capital, with up to 55 characters to either side."""
+    hit = d.extract("text", "[0-9][.][A-Z]", 0)
+    return f"""WITH found AS (SELECT doc_id, text, {hit} AS hit FROM {d.table('documents')} WHERE text IS NOT NULL), placed AS (SELECT doc_id, text, hit, CAST(position(hit IN text) AS INT) AS spot FROM found WHERE hit <> '')
+    SELECT doc_id, CAST(spot - 1 AS BIGINT) AS start_char, substr(text, greatest(1, spot - 55), spot - greatest(1, spot - 55) + length(hit) + 55) AS excerpt FROM placed"""
+
+
 def old_new_change_flags(d: Dialect) -> str:
     """Whether protecting abbreviations changes the input or the sixth sentence; null with too few sentences."""
     plain = sentences(d, protected=False)
@@ -134,4 +149,4 @@ def chat_render(d: Dialect) -> str:
     return f"SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, {d.sha(d.gather(turn, 'turn', mark))} AS chat_sha256 FROM {d.table('conversations')} GROUP BY conv_id"
 
 
-QUERIES = (sentence_split, first_six_sentences, english_admission, word_counts, clean_text, nonprose_prefix, sentence_offsets, boundary_context, old_new_change_flags, leakage_check, pretokenize, chat_render)
+QUERIES = (sentence_split, first_six_sentences, english_admission, word_counts, clean_text, nonprose_prefix, sentence_offsets, boundary_context, short_included, match_excerpts, old_new_change_flags, leakage_check, pretokenize, chat_render)

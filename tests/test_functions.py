@@ -1,11 +1,17 @@
+import copy
+import math
 import random
 
+import numpy as np
 import pytest
 
 from inkwell.functions.blocks import Walker
 from inkwell.functions.segment import REF_CLOSE, REF_OPEN, plain, segment
-from inkwell.functions.statistics import bootstrap_interval, seeded_permutation, sign_p, type_7
+from inkwell.functions.statistics import bounded_stream, resampled_means, seeded_permutation
 from inkwell.operators.documents import encode_word
+from inkwell.operators.records import tokenizer_invariants
+from inkwell.operators.text import nonprose_prefix
+from inkwell.plans.dialect import SparkDialect
 
 
 def split(text):
@@ -46,12 +52,32 @@ def test_encode_word():
     assert encode_word("a", ranks) == ["a"]
 
 
-def test_statistics():
-    assert sign_p(101, 11) == pytest.approx(2.2625e-19, rel=1e-3)
-    assert sign_p(0, 0) == 1
-    assert type_7([1, 2, 3, 4], 0.25) == 1.75
-    draw = random.Random(3)
+@pytest.mark.parametrize("n", [1, 2, 3, 12, 120, 65537])
+def test_bounded_stream_is_pythons(n):
+    ours, theirs = bounded_stream(7, n), random.Random(7)
+    got = np.concatenate([next(ours), next(ours)])[:3000].tolist()
+    assert got == [theirs.randrange(n) for _ in got]
+
+
+def test_resampled_means_follow_the_stream():
+    draw, stream = random.Random(3), random.Random(5)
     values = [draw.gauss(0, 1) for _ in range(50)]
-    low, high = bootstrap_interval(values, random.Random(5), 500)
-    assert low < sum(values) / 50 < high
+    want = [math.fsum(values[stream.randrange(50)] for _ in range(50)) / 50 for _ in range(200)]
+    assert resampled_means(np.array(values), 5, 200).tolist() == want
     assert sorted(seeded_permutation(10, 42)) == list(range(10)) and seeded_permutation(10, 42) == seeded_permutation(10, 42)
+
+
+def test_tokenizers_that_differ_in_merges_only():
+    left = {"added_tokens": [], "decoder": {"type": "x"}, "model": {"vocab": {"a": 0}, "merges": [["a", "b"]]}}
+    right = copy.deepcopy(left)
+    right["model"]["merges"] = []
+    assert all(tokenizer_invariants(left, right).values())
+    right["decoder"]["type"] = "y"
+    assert [k for k, ok in tokenizer_invariants(left, right).items() if not ok] == ["decoder", "all_but_merges"]
+
+
+def test_metadata_before_and_after_prose(spark, tmp_path):
+    text = "Specifications Table of it all is here. Graphical abstract follows now. This is prose. Method name: other words. More prose."
+    spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "In all. The end.", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in spark.sql(nonprose_prefix(SparkDialect(str(tmp_path), spark))).collect()}
+    assert got == {(1, 1, "omitted_before_narrative"), (1, 2, "omitted_before_narrative"), (1, 4, "metadata_after_narrative_start")}
