@@ -3,26 +3,33 @@
 Base kinds (leftmost non-overlapping matches, each kind on its own): ``email``, ``ip`` (parts up to 255), ``card``
 (12 to 19 digits that pass Luhn) and ``phone`` (9 to 15 digits). They seed the extraction:
 
-* a lexical pattern is a label, a word of two letters or more before ':', '=' or '#' (spaces may come between, and any white space after); its instances are the tokens that follow it in
-  the corpus. An instance that overlaps a base span is a seed;
-* ROUNDS times, a pattern's confidence is the mean score of its distinct instances, and an unseen instance's score for
-  it is the chance that another of its patterns is right, 1 - prod(1 - confidence). Seeds keep the score 1; any other
-  token that follows a label counts against it;
-* patterns with a confidence of CONFIDENCE and SUPPORT distinct seeds or more discover the tokens after them that hold a digit
-  or '@' and overlap no base span: kind ``context``.
+* instances are tokens: what follows a label (a word of two letters or more before ':', '=' or '#'; spaces may come
+  between, and any white space after), and every piece between white space that holds a digit or '@', without
+  punctuation around it. An instance that overlaps a base span is a seed, with score 1;
+* lexical patterns are contexts of instances: ``label``, the word ``before`` and the word ``after``. A pattern's
+  confidence is the sum of the scores of its distinct instances over their number and, for words before and after, that
+  of the word's other occurrences in the whole corpus: ordinary words come to nothing;
+* ROUNDS times, patterns are scored from instances and unseen instances from the patterns they occur with: for a
+  pattern, an instance's score is the chance that another of its patterns is right, 1 - prod(1 - confidence). So a
+  token that one pattern finds makes other patterns known, which no seed may stand beside;
+* patterns with a confidence of CONFIDENCE, and SUPPORT distinct instances that score as much, discover the instances
+  that hold a digit or '@' and overlap no base span: kind ``context``.
 
 The patterns below find what the plain ones would: a look-behind keeps a match from starting inside a run that a
-leftmost search would have taken whole, so that very long runs cost linear time. Null text counts as empty. Rows of
-equal doc_id stay apart. Spans are in code points, end exclusive. ``redact`` keeps all columns of its input and
-replaces spans in ``text``.
+leftmost search would have taken whole, so that very long runs cost linear time; running sums and maxima over many
+matches of one text go by CHUNK. Null text counts as empty. Rows of equal doc_id, and repeated rows, stay apart. An
+empty table gives no rows. Spans are in code points, end exclusive; of equal starts, the kind listed first comes
+first. ``redact`` keeps all columns of its input, whatever their names, and replaces spans in ``text``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialise, ordered, table, written
+from inkwell.llm.common import materialise, table, unused, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "context")
@@ -37,24 +44,59 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 LABEL = r"(?<![\p{L}_])[\p{L}_]{2,}+\x20*+[:=#]\s*+[^\s\"'<>]++"
 LABEL_PARTS = r"(?s)^([\p{L}_]++)\x20*+[:=#]\s*+(.*)$"
+#: A piece between white space with a digit or '@', and the words of a context (of at most NEAR characters to either side).
+MARKED = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+NEAR = 64
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.7, 3
-HIT = "struct<at:long,out:array<struct<start:long,stop:long,hit:string>>>"
+#: Matches of a text that are summed up in one step, and characters of a stretch of text.
+CHUNK, STRETCH = 256, 4096
+CUE = "array<struct<pattern:string,token:string,start:long,stop:long>>"
+
+
+def bound(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
+    """body of a value that is worked out once, where functions of array elements would do so for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: F.Column, join: Callable[[F.Column, F.Column], F.Column]) -> F.Column:
+    """The sums (or maxima, as join says) of an array of longs up to each of its places, a chunk of CHUNK at a time."""
+    none = F.array().cast("array<long>")
+
+    def along(array: F.Column) -> F.Column:
+        return F.aggregate(array, none, lambda done, v: F.array_append(done, F.when(F.size(done) > 0, join(F.element_at(done, -1), v)).otherwise(v)))
+
+    def chunked(values: F.Column) -> F.Column:
+        starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: along(F.slice(values, at, F.lit(CHUNK))))
+
+    def joined(parts: F.Column) -> F.Column:
+        ends = along(F.transform(parts, lambda part: F.element_at(part, -1)))
+        before = F.slice(F.concat(F.array(F.lit(None).cast("long")), ends), F.lit(1), F.size(parts))
+        return F.flatten(F.zip_with(parts, before, lambda part, done: F.transform(part, lambda v: F.when(done.isNull(), v).otherwise(join(done, v)))))
+
+    return bound(bound(values, chunked), joined)
+
+
+def total(values: F.Column) -> F.Column:
+    return running(values, lambda a, b: a + b)
+
 
+def most(values: F.Column) -> F.Column:
+    return running(values, lambda a, b: F.greatest(a, b))
 
-def hits(text: F.Column, pattern: str, needs: str) -> F.Column:
-    """start, stop and string of each match: pieces between the matches give the places."""
-    none = F.from_json(F.lit('{"at":0,"out":[]}'), HIT)
 
-    def add(state, pair):
-        start = state.at + F.char_length(pair.piece)
-        stop = start + F.char_length(pair.hit)
-        return F.struct(stop.cast("long").alias("at"), F.array_append(state.out, F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), pair.hit.alias("hit"))).alias("out"))
+def hits(text: F.Column, pattern: str, needs: str, around: bool = False) -> F.Column:
+    """start, stop and string of each match: pieces between the matches give the places; around: also left and right, NEAR characters of the pieces beside it."""
+    def placed(both):
+        found, pieces = both.found, both.pieces
+        sizes = F.flatten(F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda piece, hit: F.array(F.char_length(piece).cast("long"), F.char_length(hit).cast("long"))))
+        side = lambda k: (F.right(F.get(pieces, k), F.lit(NEAR)).alias("left"), F.left(F.get(pieces, k + 1), F.lit(NEAR)).alias("right")) if around else ()
+        return bound(total(sizes), lambda ends: F.transform(found, lambda hit, k: F.struct(F.get(ends, 2 * k).alias("start"), F.get(ends, 2 * k + 1).alias("stop"), hit.alias("hit"), *side(k))))
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda piece, hit: F.struct(piece.alias("piece"), hit.alias("hit")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.getField("out").alias("out")), add)
+    out = bound(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces")), placed)
     has = text.contains(needs) if needs == "@" else text.rlike(needs)
-    return F.when(has, walked.getField("out")).otherwise(none.getField("out"))
+    kind = "array<struct<start:long,stop:long,hit:string" + (",left:string,right:string" if around else "") + ">>"
+    return F.when(has, out).otherwise(F.array().cast(kind))
 
 
 def digits(hit: F.Column) -> F.Column:
@@ -85,6 +127,12 @@ def valid(kind: str, hit: F.Column) -> F.Column:
     return F.lit(True)
 
 
+def ordered(spans: F.Column) -> F.Column:
+    """Spans (start, stop, kind) by start, then by kind as listed."""
+    turned = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.stop.alias("stop"))))
+    return F.transform(turned, lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"), s.kind.alias("kind")))
+
+
 def base_spans(text: F.Column) -> F.Column:
     """Spans of the base kinds, by start and kind."""
 
@@ -95,87 +143,136 @@ def base_spans(text: F.Column) -> F.Column:
     return ordered(F.concat(*(of(k, kind) for k, kind in enumerate(BASE))))
 
 
+def trimmed(token: F.Column) -> F.Column:
+    return F.regexp_replace(token, r"[.,;:!?)\]}\"']++$", "")
+
+
 def labelled(text: F.Column) -> F.Column:
-    """label, token, start and stop of each token that follows a label."""
-    trimmed = lambda t: F.regexp_replace(t, r"[.,;:!?)\]}]+$", "")
+    """pattern, token, start and stop of each token that follows a label."""
 
     def of(h):
         token = F.regexp_extract(h.hit, LABEL_PARTS, 2)
         start = h.stop - F.char_length(token)
-        return F.struct(F.lower(F.regexp_extract(h.hit, LABEL_PARTS, 1)).alias("label"), trimmed(token).alias("token"), start.alias("start"), (start + F.char_length(trimmed(token))).alias("stop"))
+        label = F.concat(F.lit("label:"), F.lower(F.regexp_extract(h.hit, LABEL_PARTS, 1)))
+        return F.struct(label.alias("pattern"), trimmed(token).alias("token"), start.alias("start"), (start + F.char_length(trimmed(token))).alias("stop"))
 
     return F.filter(F.transform(hits(text, LABEL, "[:=#]"), of), lambda x: x.token != "")
 
 
-def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with _pii_row, _pii_base (base spans) and _pii_labelled (tokens after labels, with the base kind that each overlaps or null)."""
-    text = F.coalesce("text", F.lit(""))
-    spans = docs.select(*keep, F.monotonically_increasing_id().alias("_pii_row"), base_spans(text).alias("_pii_base"), labelled(text).alias("_pii_labelled"))
+def beside(text: F.Column) -> F.Column:
+    """pattern, token, start and stop of each marked token with the word before, unless that is a label, and with the word after it."""
 
-    def seeded(x):
-        over = F.filter("_pii_base", lambda b: (b.start < x.stop) & (b.stop > x.start))
-        return F.struct(x.label.alias("label"), x.token.alias("token"), x.start.alias("start"), x.stop.alias("stop"), F.get(over, F.lit(0)).kind.alias("seed"))
+    def of(h):
+        bare = F.regexp_replace(h.hit, r"^[(\[{\"']++", "")
+        start = h.stop - F.char_length(bare)
+        token = trimmed(bare)
+        word = lambda near, pattern: F.lower(F.regexp_extract(near, pattern, 1))
+        cue = lambda kind, near, pattern: F.struct(F.concat(F.lit(kind), word(near, pattern)).alias("pattern"), token.alias("token"), start.alias("start"), (start + F.char_length(token)).alias("stop"))
+        return F.array(cue("before:", h.left, r"(?<![\p{L}\p{N}_])(\p{L}{2,}+)[^\p{L}\p{N}\s:=#]*+\s++$"), cue("after:", h.right, r"^\s++[^\p{L}\p{N}\s]*+(\p{L}{2,}+)(?![\p{L}\p{N}_])"))
 
-    return spans.withColumn("_pii_labelled", F.transform("_pii_labelled", seeded))
+    return F.filter(F.flatten(F.transform(hits(text, MARKED, "[0-9@]", True), of)), lambda x: (x.token != "") & ~x.pattern.endswith(":"))
 
 
-def confident(found: DataFrame) -> DataFrame:
-    """Labels whose confidence and support suffice."""
-    each = found.select(F.explode("_pii_labelled").alias("e"))
-    edges = each.groupBy(F.col("e.label").alias("label"), F.xxhash64(F.lower("e.token")).alias("token")).agg(F.max(F.col("e.seed").isNotNull()).alias("seed"))
-    # a label gains confidence near seeds only; the edges of the others are not needed
-    supported = edges.groupBy("label").agg(F.count_if("seed").alias("support")).where(F.col("support") >= SUPPORT).select("label")
-    graph = materialise(edges.join(supported, "label"), "pii-graph")
-    score = graph.select("label", "token", F.col("seed").cast("double").alias("score"))
+def seeds(base: F.Column, cues: F.Column) -> F.Column:
+    """For each of the cues, in the order of (stop, place), the greatest stop of a base span that begins before its stop, or -1."""
+    event = lambda key, turn, place, stop: F.struct(key.alias("key"), turn.alias("turn"), place.alias("place"), stop.alias("stop"))
+    begins = F.transform(base, lambda b: event(b.start, F.lit(1), F.lit(-1), b.stop))
+    asks = F.transform(cues, lambda x, k: event(x.stop, F.lit(0), k, F.lit(-1).cast("long")))
+    return F.array_sort(F.concat(begins, asks))
+
+
+def find(docs: DataFrame, keep: tuple[str, ...], names: dict[str, str]) -> DataFrame:
+    """The kept columns with row, base (base spans) and cues (instances with a pattern, and whether each is a seed)."""
+    text = F.coalesce("text", F.lit(""))
+    row, base, cues, events = (names[k] for k in ("row", "base", "cues", "events"))
+    spans = docs.select(*keep, F.monotonically_increasing_id().alias(row), base_spans(text).alias(base), F.concat(labelled(text), beside(text)).cast(CUE).alias(cues))
+    placed = spans.withColumn(events, F.when(F.size(cues) > 0, seeds(F.col(base), F.col(cues))))
+    reach = F.zip_with(F.col(events), most(F.transform(events, lambda e: e.stop)), lambda e, m: F.struct(e.place.alias("place"), e.turn.alias("turn"), m.alias("reach")))
+    asked = F.filter(reach, lambda e: e.turn == 0)
+
+    def marked(e):
+        x = F.get(F.col(cues), e.place)
+        return F.struct(x.pattern.alias("pattern"), x.token.alias("token"), x.start.alias("start"), x.stop.alias("stop"), (e.reach > x.start).alias("seed"))
+
+    return placed.withColumn(cues, F.when(F.size(cues) > 0, F.transform(asked, marked))).drop(events)
+
+
+def confident(found: DataFrame, docs: DataFrame, cues: str) -> DataFrame:
+    """Patterns whose confidence and support suffice."""
+    each = found.select(F.explode(cues).alias("e"))
+    edges = each.groupBy(F.col("e.pattern").alias("pattern"), F.xxhash64(F.lower("e.token")).alias("token")).agg(F.max("e.seed").alias("seed"), F.count("*").alias("times"))
+    # a pattern of fewer instances than SUPPORT can't come to be known
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("tokens"), F.sum("times").alias("times")).where(F.col("tokens") >= SUPPORT)
+    sizes = sizes.withColumn("word", F.when(~F.col("pattern").startswith("label:"), F.substring_index("pattern", ":", -1)))
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]++")).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
+    least = F.col("tokens") + F.greatest(F.coalesce("uses", F.lit(0)) - F.col("times"), F.lit(0))
+    sizes = materialise(sizes.join(words, "word", "left").select("pattern", least.alias("least")).where(F.col("least") * CONFIDENCE <= F.col("tokens")), "pii-patterns")
+    graph = materialise(edges.select("pattern", "token", "seed").join(sizes, "pattern"), "pii-graph")
+    score = graph.select("pattern", "token", "least", F.col("seed").cast("double").alias("score"))
+
+    def trusted(score: DataFrame) -> DataFrame:
+        support = F.count_if(F.col("score") >= CONFIDENCE)
+        return score.groupBy("pattern").agg(F.least(F.sum("score") / F.max("least"), F.lit(0.999999)).alias("trust"), support.alias("support")).where(F.col("support") >= SUPPORT).select("pattern", "trust")
+
     for _ in range(ROUNDS):
-        trust = score.groupBy("label").agg(F.least(F.avg("score"), F.lit(0.999999)).alias("trust"))
-        trusted = graph.join(trust, "label").withColumn("doubt", F.log1p(-F.col("trust")))
-        doubts = trusted.groupBy("token").agg(F.sum("doubt").alias("all"))
+        doubted = graph.join(trusted(score), "pattern", "left").withColumn("doubt", F.log1p(-F.coalesce("trust", F.lit(0.0))))
+        doubts = doubted.groupBy("token").agg(F.sum("doubt").alias("all"))
         others = 1 - F.exp(F.least(F.col("all") - F.col("doubt"), F.lit(0.0)))
-        score = trusted.join(doubts, "token").select("label", "token", F.when(F.col("seed"), 1.0).otherwise(others).alias("score"))
-    return score.groupBy("label").agg(F.avg("score").alias("trust")).where(F.col("trust") >= CONFIDENCE).select("label")
+        score = doubted.join(doubts, "token").select("pattern", "token", "least", F.when(F.col("seed"), 1.0).otherwise(others).alias("score"))
+    return trusted(score).where(F.col("trust") >= CONFIDENCE).select("pattern")
 
 
-def with_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with _pii_base and _pii_spans (base and discovered spans, by start and kind)."""
-    found = materialise(find(docs, keep), "pii-found")
+def with_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, str, str]:
+    """The kept columns with base spans, and all spans (base and discovered ones, by start and kind), and the names of these two columns."""
+    names = {k: unused((*keep, *docs.columns), f"_pii_{k}") for k in ("row", "base", "cues", "events", "more", "spans")}
+    row, base, cues, more = (names[k] for k in ("row", "base", "cues", "more"))
+    found = materialise(find(docs, keep, names), "pii-found")
+    unseen = F.filter(cues, lambda x: ~x.seed & x.token.rlike("[0-9@]"))
     new = (
-        found.select("_pii_row", F.explode(F.filter("_pii_labelled", lambda x: x.seed.isNull() & x.token.rlike("[0-9@]"))).alias("x"))
-        .select("_pii_row", "x.label", "x.start", "x.stop")
-        .join(confident(found), "label", "left_semi")
-        .groupBy("_pii_row")
-        .agg(F.collect_set(F.struct("start", "stop", F.lit(len(BASE)).alias("kind"))).alias("_pii_more"))
+        found.select(row, F.explode(unseen).alias("x"))
+        .select(row, "x.pattern", "x.start", "x.stop")
+        .join(confident(found, docs, cues), "pattern", "left_semi")
+        .groupBy(row)
+        .agg(F.collect_set(F.struct("start", "stop", F.lit(len(BASE)).alias("kind"))).alias(more))
     )
-    both = F.concat("_pii_base", F.coalesce("_pii_more", F.array().cast("array<struct<start:long,stop:long,kind:int>>")))
-    return found.join(new, "_pii_row", "left").select(*keep, "_pii_base", ordered(both).alias("_pii_spans"))
+    both = F.concat(base, F.coalesce(more, F.array().cast("array<struct<start:long,stop:long,kind:int>>")))
+    return found.join(new, row, "left").select(*keep, base, ordered(both).alias(names["spans"])), base, names["spans"]
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of ``text`` replaced by its kind in angle brackets; where spans overlap, the first stands. A null text stays null."""
     columns = docs.columns
-    found = with_spans(docs, tuple(columns))
-
-    def step(state, s):
-        skip = s.start < state.at
-        piece = F.substring(F.col("text"), (state.at + 1).cast("int"), (s.start - state.at).cast("int"))
+    found, _, spans = with_spans(docs, tuple(columns))
+    reach, parts = unused((*columns, spans), "_pii_reach"), unused((*columns, spans), "_pii_parts")
+    # how far the spans before each one reach; a stretch is found without going through the text before it
+    reached = found.withColumn(reach, F.concat(F.array(F.lit(0).cast("long")), most(F.transform(spans, lambda s: s.stop))))
+    cut = reached.withColumn(parts, F.when(F.size(spans) > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))))
+
+    def between(a: F.Column, b: F.Column) -> F.Column:
+        i, j = F.floor(a / STRETCH).cast("int"), F.floor((b - 1) / STRETCH).cast("int")
+        first, last = (a % STRETCH).cast("int"), ((b - 1) % STRETCH).cast("int")
+        one = F.substring(F.get(parts, i), first + 1, (b - a).cast("int"))
+        several = F.concat(F.substring(F.get(parts, i), first + 1, F.lit(STRETCH)), F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(parts, j), F.lit(1), last + 1))
+        return F.when(b <= a, F.lit("")).when(i == j, one).otherwise(several)
+
+    def piece(s, k):
+        at = F.get(reach, k)
         name = F.concat(F.lit("<"), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s.kind + 1)), F.lit(">"))
-        out = F.when(skip, state.out).otherwise(F.array_append(F.array_append(state.out, piece), name))
-        return F.struct(F.greatest(state.at, s.stop).alias("at"), out.alias("out"))
+        return F.when(s.start >= at, F.concat(between(at, s.start), name)).otherwise("")
 
-    walked = F.aggregate("_pii_spans", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), step)
-    rest = F.substring(F.col("text"), (F.col("_pii_walk.at") + 1).cast("int"), F.char_length("text"))
-    clean = F.when(F.size("_pii_spans") > 0, F.concat(F.array_join("_pii_walk.out", ""), rest)).otherwise(F.col("text"))
-    return found.withColumn("_pii_walk", walked).withColumn("text", clean).select(*columns)
+    rest = between(F.element_at(reach, -1), F.char_length("text").cast("long"))
+    clean = F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), rest)).otherwise(F.col("text"))
+    return cut.withColumn("text", clean).select(*columns)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("_pii_base", lambda s: s.kind == k)).cast("long")
+    found, base, spans = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter(base, lambda s: s.kind == k)).cast("long")
     return found.select(
         "doc_id",
         *(count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)),
-        F.sha2(written("_pii_base", KINDS), 256).alias("base_sha256"),
-        written("_pii_spans", KINDS).alias("spans"),
+        F.sha2(written(base, KINDS), 256).alias("base_sha256"),
+        written(spans, KINDS).alias("spans"),
     )
 
 

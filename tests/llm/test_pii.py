@@ -76,3 +76,36 @@ def test_tokens_that_differ_late_are_instances_of_their_own(spark, tmp_path):
     rows = [(k, f"code: user{k}@mail.example") for k in range(6)] + [(10 + k, f"code: {head}{k}") for k in range(6)]
     got = {r.doc_id: r.spans for r in pii.op8_pii(spark, documents(spark, rows, tmp_path)).collect()}
     assert [got[10 + k] for k in range(6)] == [""] * 6
+
+
+def test_discovered_tokens_make_patterns_known_that_no_seed_has(spark, tmp_path):
+    """'reachme' has seeds; the tokens it finds stand after 'badge' too, which then finds one that stands nowhere else."""
+    rows = [(k, f"xx reachme user{k}@mail.example yy") for k in range(9)]
+    rows += [(20 + k, f"xx reachme id-{k}77 yy") for k in range(3)]
+    rows += [(30 + k, f"zz badge id-{k}77 ww") for k in range(3)]
+    rows += [(40, "zz badge id-999 ww"), (41, "plain 77-a words"), (42, "plain words"), (43, "plain 77-b words")]
+    got = {r.doc_id: r.spans for r in pii.op8_pii(spark, documents(spark, rows, tmp_path)).collect()}
+    assert all(got[20 + k] == "context:11:17" and got[30 + k] == "context:9:15" for k in range(3))
+    assert got[40] == "context:9:15"
+    assert got[41] == got[42] == got[43] == ""
+
+
+def test_ordinary_words_before_seeds_find_nothing(spark, tmp_path):
+    rows = [(k, f"see the user{k}@mail.example and the house, the tree, the {k} birds") for k in range(9)]
+    got = [r.spans for r in pii.op8_pii(spark, documents(spark, rows, tmp_path)).collect()]
+    assert not any("context" in s for s in got)
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail a@b.co " + "x" * 5000 + " 10.0.0.1 end", 1, "u"), (2, None, 2, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _pii_row long, _PII_BASE string")
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "mail <EMAIL> " + "x" * 5000 + " <IP> end", 1, "u"), rows[1]]
+
+
+def test_many_matches_in_one_text(spark):
+    n = 20000
+    df = spark.createDataFrame([(1, "ref: a1@b.co " * n)], "doc_id long, text string")
+    out = pii.redact(df).first().text
+    assert out == "ref: <EMAIL> " * n
