@@ -1,4 +1,4 @@
-"""Sorting of all strings of a set of contexts, with common-prefix values."""
+"""Sorting of all strings of one length in a set of contexts, in memory."""
 
 from __future__ import annotations
 

@@ -9,13 +9,15 @@ can cover) is enough to compare the strings around it:
 2. documents with a repeated anchor are kept in packets of about PACKET bytes; of each packet, one entry for each
    anchor and context hash goes to the anchor's bucket, however many documents of the packet hold it. A bucket answers
    with the smallest doc_id of each context, and tells anchors that have several contexts;
-3. only the contexts of the latter are sent as bytes. In each bucket their suffixes are sorted, with common-prefix
-   values, by external induced sorting (``induced``), and runs of suffixes that agree in LENGTH bytes give the smallest
-   doc_id of each string;
+3. only the contexts of the latter are sent as bytes. A bucket sorts the LENGTH-byte strings of its contexts in memory
+   (``induced``), and equal ones give the smallest doc_id of each string. This takes the place of external induced
+   sorting, which the README gives figures for; a bucket holds all contexts of its anchors, so an anchor with very many
+   contexts needs as much memory in one task;
 4. a packet gathers the answers, and removes.
 
 A hot passage costs one entry for each packet, not one for each document. Null text counts as empty. A null doc_id is
-larger than any other. Rows of equal doc_id never remove from each other. Other columns are not read.
+larger than any other. Rows of equal doc_id never remove from each other. An empty table gives no rows. A document is
+held whole in a task, with some 30 times its bytes in arrays. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,10 @@ path, and a logistic link, fitted on the learning rows, turns a document's stron
 Only rows with crc32(doc_id) % 5 <> 0 are learned from: POSITIVES and NEGATIVES labelled rows at most, in the order
 of a hash, near copies among them once. Null and empty texts score as texts without a match. Without a label of
 both kinds the lexicon is empty and every score is 0. Repeated labels of a document count once, toxic if any is.
-Repeated documents are scored each. Columns of other names are passed by, or kept by ``reject``.
+Repeated documents are scored each. Columns of other names are passed by, or kept by ``reject``. Of near copies in the
+sample the one with the least doc_id (then text) is learned from, and ties between lexicon entries go by length and
+spelling, so the model doesn't depend on how rows are dealt. An empty table gives no rows. A text is scored whole.
+The lexicon comes from words of 3 to 40 letters, of which CANDIDATES at most are gone through, commonest first.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_pass, discard, materialise, record, table, texts
+from inkwell.llm.common import arrow_pass, discard, materialise, record, table, texts, unused
 
 POSITIVES, NEGATIVES = 4000, 8000
 #: Candidate lexicon entries that come to the driver at most: one for each letter sequence that is frequent in toxic rows only.
@@ -236,7 +239,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return one
 
     found = arrow_pass(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), make, "doc_id long, text string, toxic int, one long, two long")
-    return materialise(found.dropDuplicates(["toxic", "one"]).dropDuplicates(["toxic", "two"]).select("doc_id", "text", "toxic"), "toxicity-sample")
+    # of near copies the least row stays, however the rows are dealt
+    first = found.groupBy("toxic", "one").agg(F.min(F.struct("doc_id", "text", "two")).alias("m")).select("toxic", "m.*")
+    first = first.groupBy("toxic", "two").agg(F.min(F.struct("doc_id", "text")).alias("m")).select("m.doc_id", "m.text", "toxic")
+    return materialise(first, "toxicity-sample")
 
 
 def learn_lexicon(rows: DataFrame, positives: int, negatives: int) -> dict[str, str]:
@@ -331,7 +337,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, str], tuple[flo
 
         return one
 
-    got = arrow_pass(rows.select("text", "toxic"), make, "toxic int, a double, b double").orderBy("toxic", "a", "b").collect()  # the sample's rows
+    got = sorted(arrow_pass(rows.select("text", "toxic"), make, "toxic int, a double, b double").collect())  # the sample's rows
     discard(rows)
     return lexicon, fit_link(np.array([(r.a, r.b) for r in got]), np.array([r.toxic for r in got]))
 
@@ -356,7 +362,8 @@ def score(docs: DataFrame, model: tuple[dict[str, str], tuple[float, float, floa
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows whose score stays under the threshold, with their columns."""
-    return score(docs, train(docs, labels), "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = unused(docs.columns, "_toxicity")
+    return score(docs, train(docs, labels), name).where(F.col(name) < threshold).drop(name)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

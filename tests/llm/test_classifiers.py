@@ -74,3 +74,21 @@ def test_every_language_is_learned(spark):
     assert sum(a == b for a, b in zip(got, names, strict=True)) >= 0.95 * len(names)
     chosen = language.sample(docs.selectExpr("lang", "xxhash64(doc_id) AS key", "xxhash64(text) AS tie")).groupBy("lang").sum("copies").collect()
     assert {r[0]: r[1] for r in chosen} == {x: 400 if x == "l00" else 4 for x in names}
+
+
+def test_toxicity_model_does_not_depend_on_the_dealing(spark):
+    rows, labels = toxic_rows(300)
+    rows += [(k + 5000, t) for k, t in rows[:60]]
+    labels = labels + [(k + 5000, q, t) for k, q, t in labels[:60]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one, other = (toxicity.train(docs.repartition(n), marks.repartition(n + 1)) for n in (1, 5))
+    assert one == other and one[0]
+    assert toxicity.reject(docs.limit(0), marks.limit(0)).count() == 0
+
+
+def test_reject_keeps_columns_of_any_name(spark):
+    rows, labels = toxic_rows(120)
+    docs = spark.createDataFrame([(k, t, k * 2.0) for k, t in rows], "doc_id long, text string, _toxicity double")
+    kept = toxicity.reject(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.columns == docs.columns and all(r["_toxicity"] == r.doc_id * 2 for r in kept.collect())
