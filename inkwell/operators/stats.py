@@ -15,6 +15,8 @@ from inkwell.plans.dialect import Dialect, SparkDialect
 
 #: The reference's paired analysis.
 REPLICATES = 20_000
+#: Seed and resamples of the holdout analysis.
+SEED, SEEDED_REPLICATES = 2021, 10_000
 #: Tasks that the draws are dealt out to.
 TASKS = 64
 PAIRS = (("D_minus_E", "d_e"), ("D_minus_B", "d_b"), ("D_minus_A", "d_a"))
@@ -117,11 +119,12 @@ def hash_bootstrap(d: Dialect) -> str:
     SELECT batch, CAST(count(*) AS BIGINT) AS replicates, round({d.percentile('mean', 0.025)}, 6) AS low, round({d.percentile('mean', 0.975)}, 6) AS high FROM means GROUP BY batch"""
 
 
-def seeded_bootstrap(spark: SparkSession, sf_dir: str, seed: int = 20260719, replicates: int = REPLICATES) -> DataFrame:
-    """The interval of the reference's own resampling: Python's stream of the seed, drawn in the order of paper ids.
+def seeded_bootstrap(spark: SparkSession, sf_dir: str, seed: int = SEED, replicates: int = SEEDED_REPLICATES) -> DataFrame:
+    """The interval by Python's random stream of a seed, begun anew for each batch and comparison, over papers in order of their ids.
 
-    That stream has one order, so each batch and comparison is one task, which holds 8 bytes a paper; hash_bootstrap is
-    the form whose draws are dealt out.
+    That is the holdout analysis's resampling. (The paired analysis lets one stream, of another seed, run on through all
+    batches and comparisons; that order is not built.) A stream has one order, so each batch and comparison is one task,
+    which holds 8 bytes a paper; hash_bootstrap is the form whose draws are dealt out.
     """
     diffs = spark.sql(f"WITH {long(SparkDialect(sf_dir, spark))} SELECT batch, comparison, paper, diff FROM diffs")
 
