@@ -4,7 +4,9 @@ Vectors are dealt by a hash of their content into shards of about SHARD vectors.
 nodes a batch at a time: a greedy beam search over the graph so far (with the batch's own nearest nodes) proposes
 neighbours, and pruning keeps a proposal only if no kept neighbour is ALPHA times nearer to it than the node is, at
 most DEGREE of them; reverse edges are pruned likewise. A second pass re-inserts every node. Largest inner product
-becomes least distance by one more coordinate that gives all vectors of a shard the same norm. Blocks of queries are
+becomes least distance by one more coordinate that gives all vectors of a shard the same norm. A query has 0 there and
+so lies apart from short vectors: proposals also come from a search from where a query in the node's direction lies, and
+each node has AHEAD more edges, pruned as seen from there, or few edges would lead to long vectors. Blocks of queries are
 searched in every shard with a beam of BEAM, and scores are computed anew in double precision on the vectors given.
 
 Equal vectors are one node: of its vec_ids the k + 1 smallest are enough for any query's k nearest with ties to the
@@ -22,7 +24,7 @@ from pyspark.sql.window import Window
 
 from inkwell.llm.common import materialise, table
 
-SHARD, DEGREE, SLACK, ALPHA = 8192, 32, 48, 1.2
+SHARD, DEGREE, SLACK, AHEAD, ALPHA = 8192, 32, 48, 24, 1.2
 BUILD_BEAM, BEAM, WIDTH, BATCH = 64, 128, 4, 256
 #: Queries of a block, and blocks that a task searches with one copy of a shard's graph.
 BLOCK, BLOCKS = 256, 8
@@ -60,13 +62,13 @@ def search(points: np.ndarray, squares: np.ndarray, edges: np.ndarray, starts: n
         new = np.where(open_[:, :, None], edges[np.take_along_axis(ids, at, 1)], -1).reshape(b, -1)
 
 
-def prune(points: np.ndarray, nodes: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """For each node up to degree ids of its pool (-1: none): the nearest, then the nearest that none kept is alpha times nearer to."""
+def prune(points: np.ndarray, nodes: np.ndarray, pool: np.ndarray, degree: int, alpha: float, seats: np.ndarray) -> np.ndarray:
+    """For each node up to degree ids of its pool (-1: none): the nearest to its seat, then the nearest that none kept is alpha times nearer to."""
     pool = np.sort(pool, 1)
     pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = -1
     pool = np.where(pool == nodes[:, None], -1, pool)
     near = points[pool]
-    gap = near - points[nodes][:, None, :]
+    gap = near - seats[:, None, :]
     distance = np.where(pool >= 0, np.einsum("bkd,bkd->bk", gap, gap), np.inf)
     order = np.argsort(distance, 1, kind="stable")
     pool, distance, near = np.take_along_axis(pool, order, 1), np.take_along_axis(distance, order, 1), np.take_along_axis(near, order[:, :, None], 1)
@@ -93,12 +95,19 @@ def augmented(vectors: np.ndarray) -> np.ndarray:
     return (np.hstack([vectors, rest[:, None]]) / scale).astype(np.float32)
 
 
+def aimed(vectors: np.ndarray) -> np.ndarray:
+    """Where queries in the vectors' directions lie among augmented points. No vector is zero."""
+    unit = vectors / np.sqrt((vectors.astype(np.float64) ** 2).sum(1, keepdims=True))
+    return np.hstack([unit, np.zeros((len(unit), 1))]).astype(np.float32)
+
+
 def build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (n x SLACK ids, -1: none) and start nodes of a shard's graph."""
+    """Edges (n x SLACK + AHEAD ids, -1: none) and start nodes of a shard's graph."""
     points = augmented(vectors)
     n = len(points)
     squares = (points**2).sum(1)
-    edges = np.full((n, SLACK), -1, np.int64)
+    aims = aimed(vectors)
+    edges = np.full((n, SLACK + AHEAD), -1, np.int64)
     order = np.random.default_rng(n).permutation(n)
     medoid = int(((points - points.mean(0)) ** 2).sum(1).argmin()) if n else 0
     order = np.concatenate([[medoid], order[order != medoid]])[:n]
@@ -108,13 +117,17 @@ def build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inner = squares[nodes][None, :] - 2 * points[nodes] @ points[nodes].T
         np.fill_diagonal(inner, np.inf)
         own = nodes[np.argsort(inner, 1)[:, : min(16, len(nodes))]]
-        pool = [own, edges[nodes]]
+        aside = nodes[np.argsort(-aims[nodes] @ points[nodes].T, 1)[:, : min(16, len(nodes))]]
+        pool = [own, aside, edges[nodes]]
         if known:
-            pool.append(search(points, squares, edges, starts, points[nodes], BUILD_BEAM)[0])
-        kept = prune(points, nodes, np.hstack(pool), DEGREE, ALPHA)
+            pool += [search(points, squares, edges, starts, seats[nodes], BUILD_BEAM)[0] for seats in (points, aims)]
+        pool = np.hstack(pool)
+        kept = prune(points, nodes, pool, DEGREE, ALPHA, points[nodes])
+        pool = np.where((pool[:, :, None] == kept[:, None, :]).any(2), -1, pool)
         edges[nodes] = -1
         edges[nodes, :DEGREE] = kept
-        held = (edges >= 0).sum(1)
+        edges[nodes, SLACK:] = prune(points, nodes, pool, AHEAD, ALPHA, aims[nodes])
+        held = (edges[:, :SLACK] >= 0).sum(1)
         target, source = kept.ravel(), np.repeat(nodes, kept.shape[1])
         order_ = np.argsort(target, kind="stable")
         target, source = target[order_], source[order_]
@@ -130,9 +143,10 @@ def build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             widest = int(many[chosen].max())
             slot = np.arange(widest)
             more = np.where(slot < many[chosen][:, None], source[np.minimum(first[chosen][:, None] + slot, len(source) - 1)], -1)
-            slim = prune(points, at[chosen], np.hstack([edges[at[chosen]], more]), DEGREE, ALPHA)
-            edges[at[chosen]] = -1
-            edges[at[chosen], :DEGREE] = slim
+            full = at[chosen]
+            slim = prune(points, full, np.hstack([edges[full, :SLACK], more]), DEGREE, ALPHA, points[full])
+            edges[full, :SLACK] = -1
+            edges[full, :DEGREE] = slim
 
     for turn in range(2):
         for part in range(0, n, BATCH):
@@ -181,7 +195,7 @@ def nearest(embeddings: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame
         d = int(g["dim"])
         keys = np.frombuffer(g["keys"], np.int64).reshape(-1, 2)
         vectors = np.frombuffer(g["vectors"], np.float64).reshape(-1, d)
-        edges = np.frombuffer(g["edges"], np.int32).reshape(-1, SLACK).astype(np.int64)
+        edges = np.frombuffer(g["edges"], np.int32).reshape(-1, SLACK + AHEAD).astype(np.int64)
         starts = np.frombuffer(g["starts"], np.int32).astype(np.int64)
         points = augmented(vectors)
         squares = (points**2).sum(1)
@@ -189,8 +203,7 @@ def nearest(embeddings: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame
         for at in range(0, len(queries), BLOCK):
             part = queries.iloc[at : at + BLOCK]
             exact = np.array(part["embedding"].tolist(), np.float64)
-            unit = exact / np.sqrt((exact**2).sum(1, keepdims=True))
-            found, _ = search(points, squares, edges, starts, np.hstack([unit, np.zeros((len(unit), 1))]).astype(np.float32), BEAM)
+            found, _ = search(points, squares, edges, starts, aimed(exact), BEAM)
             score = np.where(found >= 0, np.einsum("bkd,bd->bk", vectors[found], exact), -np.inf)
             order = np.argsort(-score, 1, kind="stable")
             found, score = np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)

@@ -34,3 +34,15 @@ def test_ties_between_different_vectors_go_by_vec_id(spark):
     got = [r.vec_id for r in neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
     score = {k: sum(v) for k, v in rows}
     assert got == sorted(range(1, 49), key=lambda k: (-score[k], k))[:20]
+
+
+def test_recall_on_isotropic_vectors_of_unequal_norms(monkeypatch, spark):
+    monkeypatch.setattr(neighbours, "SHARD", 1000)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2700, 64)) * rng.uniform(0.5, 2, (2700, 1))
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()}
+    score = x[::20] @ x.T
+    score[np.arange(135), np.arange(0, 2700, 20)] = -np.inf
+    want = {(20 * q, int(v)) for q, row in enumerate(np.argsort(-score, 1)[:, :20]) for v in row}
+    assert len(found & want) >= 0.95 * len(want)
