@@ -1,6 +1,6 @@
 import pytest
 
-from .helpers import documents
+from .helpers import SCHEMA, documents
 from .test_classifiers import toxic_rows
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -29,3 +29,12 @@ def test_each_stage_takes_effect(spark, tmp_path):
     assert "<EMAIL>" in seen["pii"][902].text and seen["pii"][902].n_chars == len(seen["pii"][902].text)
     assert set(seen["tokens"]) == set(seen["pii"]) == set(seen["decontamination"])
     assert all(r.n_tokens == len(r.ids) for r in seen["tokens"].values())
+
+
+def test_an_empty_table_gives_no_rows(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, sf)
+    assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() == 0
