@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product, on robust-pruned directed graphs.
 
-Vectors are dealt by a hash of their content into shards of about SHARD vectors. A shard's graph is built by inserting
+Vectors are dealt by a hash of their content into shards, whose size grows with the root of the number of vectors
+(shard_size), so that queries visit fewer shards than a fixed size would give. A shard's graph is built by inserting
 nodes a batch at a time: a greedy beam search over the graph so far (with the batch's own nearest nodes) proposes
 neighbours, and pruning keeps a proposal only if no kept neighbour is ALPHA times nearer to it than the node is, at
 most DEGREE of them; reverse edges are pruned likewise. A second pass re-inserts every node. Largest inner product
@@ -24,10 +25,14 @@ from pyspark.sql.window import Window
 
 from inkwell.llm.common import materialise, table
 
-SHARD, DEGREE, SLACK, AHEAD, ALPHA = 8192, 32, 48, 24, 1.2
+DEGREE, SLACK, AHEAD, ALPHA = 32, 48, 24, 1.2
 BUILD_BEAM, BEAM, WIDTH, BATCH = 64, 128, 4, 256
-#: Queries of a block, and blocks that a task searches with one copy of a shard's graph.
-BLOCK, BLOCKS = 256, 8
+#: A shard has at least SHARD vectors on average, and ROOT * sqrt(n) of n, while its vectors stay under SHARD_BYTES.
+SHARD, ROOT, SHARD_BYTES = 8192, 32, 2**26
+#: Queries of a block; a task searches as many queries as a shard has vectors with one copy of its graph.
+BLOCK = 256
+#: Squared distance, among points of norm 1, from which a query in a node's direction is looked for apart from the node.
+APART = 1e-6
 
 
 def search(points: np.ndarray, squares: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,9 +48,10 @@ def search(points: np.ndarray, squares: np.ndarray, edges: np.ndarray, starts: n
         new = np.sort(new, 1)
         fresh = (new >= 0) & ~seen[rows, new]
         fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
-        seen[np.nonzero(fresh)[0], new[fresh]] = True
-        distance = squares[new] - 2 * np.matmul(points[new], queries[:, :, None])[:, :, 0]
-        distance = np.where(fresh, distance, np.inf).astype(np.float32)
+        asker, node = np.nonzero(fresh)[0], new[fresh]
+        seen[asker, node] = True
+        distance = np.full(new.shape, np.inf, np.float32)
+        distance[fresh] = squares[node] - 2 * np.einsum("ij,ij->i", points[node], queries[asker])
         all_ids, all_far = np.hstack([ids, new]), np.hstack([far, distance])
         all_done = np.hstack([done, ~fresh])
         order = np.argpartition(all_far, beam - 1, 1)[:, :beam] if all_far.shape[1] > beam else np.argsort(all_far, 1)
@@ -107,6 +113,7 @@ def build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(points)
     squares = (points**2).sum(1)
     aims = aimed(vectors)
+    apart = ((points - aims) ** 2).sum(1) > APART
     edges = np.full((n, SLACK + AHEAD), -1, np.int64)
     order = np.random.default_rng(n).permutation(n)
     medoid = int(((points - points.mean(0)) ** 2).sum(1).argmin()) if n else 0
@@ -120,7 +127,11 @@ def build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         aside = nodes[np.argsort(-aims[nodes] @ points[nodes].T, 1)[:, : min(16, len(nodes))]]
         pool = [own, aside, edges[nodes]]
         if known:
-            pool += [search(points, squares, edges, starts, seats[nodes], BUILD_BEAM)[0] for seats in (points, aims)]
+            pool.append(search(points, squares, edges, starts, points[nodes], BUILD_BEAM)[0])
+            lean = np.flatnonzero(apart[nodes])
+            ahead = np.full((len(nodes), BUILD_BEAM), -1, np.int64)
+            ahead[lean] = search(points, squares, edges, starts, aims[nodes[lean]], BUILD_BEAM)[0]
+            pool.append(ahead)
         pool = np.hstack(pool)
         kept = prune(points, nodes, pool, DEGREE, ALPHA, points[nodes])
         pool = np.where((pool[:, :, None] == kept[:, None, :]).any(2), -1, pool)
@@ -154,6 +165,11 @@ def build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges, starts
 
 
+def shard_size(n: int, dim: int) -> int:
+    """Vectors of a shard on average, of n vectors in all with at most dim components."""
+    return min(max(SHARD, int(ROOT * n**0.5)), max(1024, SHARD_BYTES // (8 * max(dim, 1))))
+
+
 def valid(embeddings: DataFrame) -> DataFrame:
     v = F.col("embedding")
     fine = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))) & F.exists(v, lambda x: x != 0)
@@ -165,8 +181,9 @@ def nearest(embeddings: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame
     rows = materialise(valid(embeddings.select("vec_id", "embedding")).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(7), "embedding")), "ann-rows")
     key = ["k1", "k2"]
     distinct = rows.groupBy(*key).agg(F.min("embedding").alias("embedding"), F.max(is_query).alias("asked"))
-    n = distinct.count()
-    shards = max(1, -(-n // SHARD))
+    n, longest = distinct.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    size = shard_size(n, longest or 1)
+    shards = max(1, -(-n // size))
     nodes = materialise(distinct.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int")), "ann-nodes")
     first = Window.partitionBy(*key).orderBy("vec_id")
     members = materialise(rows.select(*key, "vec_id", F.row_number().over(first).alias("r")).where(F.col("r") <= k + 1).drop("r"), "ann-members")
@@ -180,7 +197,7 @@ def nearest(embeddings: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame
 
     graphs = materialise(nodes.groupBy("dim", "shard").applyInPandas(index, "dim int, shard int, keys binary, vectors binary, edges binary, starts binary"), "ann-graphs")
     asked = nodes.where("asked").select(*key, "dim", "embedding")
-    groups = max(1, -(-asked.count() // (BLOCK * BLOCKS)))
+    groups = max(1, -(-asked.count() // size))
     asked = asked.withColumn("part", F.pmod("k2", F.lit(groups)).cast("int"))
     places = graphs.select(F.col("dim").alias("length"), F.col("shard").alias("place"))
     # each query goes to each shard of its length once
