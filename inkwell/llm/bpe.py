@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import arrow_pass, table, texts
+from inkwell.llm.common import arrow_pass, remembered, table, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pre-tokens, and distinct chunks, that a worker remembers at most; beyond it, it starts anew.
@@ -137,20 +137,14 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_CODECS: dict[tuple[str | None, str | None], Codec] = {}
-
-
 def make_codec(vocabulary: str | None = None, pattern: str | None = None) -> Codec:
     """vocabulary: path of a file of base64 tokens and ranks; None: the public multilingual one, found on the machine that runs.
 
-    One for each worker process: what it remembers serves its later tasks.
+    One for each worker process: what it remembers serves its later tasks of this kind.
     """
     import public_tokenizers
 
-    key = (vocabulary, pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(read_ranks(vocabulary or public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN)
-    return _CODECS[key]
+    return remembered(("bpe", vocabulary, pattern), lambda: Codec(read_ranks(vocabulary or public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN))
 
 
 def _kept(docs: DataFrame, *made: str) -> list[T.StructField]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -69,18 +71,54 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+#: What a worker process remembers from task to task, and the keys of it that its present task has asked for.
+_REMEMBERED: dict[Hashable, Any] = {}
+_ASKED: set[Hashable] = set()
+
+
+def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
+    """make()'s result, made once for each worker process; to be asked for in an arrow_pass's make. It lasts until a task doesn't ask for it."""
+    _ASKED.add(key)
+    if key not in _REMEMBERED:
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def begin(make: Callable[[], Any]) -> Any:
+    """make()'s result; what it didn't ask for isn't remembered any longer. A function of the module, so that workers use their own memory and no copy of the driver's."""
+    _ASKED.clear()
+    one = make()
+    for key in _REMEMBERED.keys() - _ASKED:
+        del _REMEMBERED[key]
+    return one
+
+
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system, where the C library can: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with state made once for each task: make() returns the function of one batch, which may have a finish() of its own."""
+    """mapInArrow with state made once for each task: make() returns the function of one batch, which may have a finish() of its own.
+
+    Workers serve the tasks of many operators: what earlier ones remembered goes when a task begins that doesn't ask for
+    it, and a task's own memory is handed back when it ends.
+    """
     short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = make()
+        one = begin(make)
         for batch in batches:
             if batch.num_rows:
                 yield from one(batch)
         finish = getattr(one, "finish", None)
         if finish is not None:
             yield from finish()
+        del one, finish
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_pass, discard, materialise, record, shared_dir, table, texts
+from inkwell.llm.common import arrow_pass, discard, materialise, record, remembered, shared_dir, table, texts
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -107,14 +107,9 @@ class Encoder:
         return b"".join(map(chunks.__getitem__, parts))
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
-
-
 def encoder(path: str | None) -> Encoder:
-    """One for each worker process: what it remembers serves its later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One for each worker process: what it remembers serves its later tasks of this kind."""
+    return remembered(("token file", path), lambda: Encoder(path))
 
 
 def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkwell.llm import bpe, token_file
+from inkwell.llm import bpe, common, token_file
 
 from .helpers import EDGES, documents
 
@@ -93,3 +93,11 @@ def test_token_file_knows_added_tokens(spark, tmp_path):
         assert (got[key].start, got[key].n_tokens) == (start, len(ids))
         assert got[key].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
+
+
+def test_workers_forget_what_their_task_does_not_ask_for():
+    made = []
+    ask = lambda key: lambda: common.remembered(key, lambda: made.append(key) or key)
+    assert [common.begin(ask("a")), common.begin(ask("a")), common.begin(ask("b")), common.begin(ask("a"))] == ["a", "a", "b", "a"]
+    assert made == ["a", "b", "a"]
+    common.begin(lambda: None)
