@@ -10,6 +10,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,9 +62,27 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more, which it does when the driver collects its garbage."""
+    """Lets Spark delete shuffle files that nothing refers to any more, which it does when the driver collects its garbage; then the driver hands freed memory back to the system."""
     gc.collect()
     spark._jvm.System.gc()
+    trim_native(spark)
+    give_back()
+
+
+def trim_native(spark: SparkSession) -> str | None:
+    """malloc_trim in the driver's JVM, as the diagnostic command System.trim_native_heap: planning and compiling hundreds of stages frees memory that the C library keeps otherwise. None where the JVM has no such command."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    of, text = jvm.java.lang.Class.forName, jvm.java.lang.String
+    try:
+        types, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[k] = of(name)
+        for k, value in enumerate((jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", new(jvm.java.lang.Object, 0), new(text, 0))):
+            given[k] = value
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return of("javax.management.MBeanServerConnection").getMethod("invoke", types).invoke(server, given)
+    except Py4JError:
+        return None
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -161,7 +180,9 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds. Each round reads and writes the edge list once, in the shared
     folder; a node's partners are only ever reduced to their minimum, so a hot node needs no list in one task.
     """
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     cur = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-edges")
+    before = mark(cur)
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -171,12 +192,12 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
         low = known.groupBy("a").agg(F.min("b").alias("m"))
         small = known.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         nxt = materialise(small, f"{label}-edges")
-        before = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        after = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = mark(nxt)
         discard(cur)
         cur = nxt
         if before == after:
             break
+        before = after
     else:
         raise RuntimeError("components did not settle")
     return cur.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")

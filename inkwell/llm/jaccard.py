@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_pass, components, discard, in_bitmap, materialise, mix64, record, release, repeated_filter, table, texts, unused
+from inkwell.llm.common import arrow_pass, components, discard, in_bitmap, materialise, mix64, packed_words, record, release, repeated_filter, table, texts, unused
 
 WORDS, PERCENT = 4, 85
 #: Buckets of the estimate of common shingles; rows of one task that make a bucket common; both bound what is sent out.
@@ -156,9 +156,10 @@ def common_buckets(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
         one.finish = finish
         return one
 
-    rows = arrow_pass(docs.select("text"), make, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    rows = rows.sort_values("bucket")
-    return rows["bucket"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    rows = arrow_pass(docs.select("text"), make, "bucket int, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).alias("n"))
+    parts = [(np.frombuffer(r.words, np.int32), np.frombuffer(r.bits, np.int32)) for r in packed_words(rows.select(F.col("bucket").alias("word"), F.col("n").alias("bits"))).toLocalIterator()]
+    none = np.zeros(0, np.int32)
+    return np.concatenate([none, *(p[0] for p in parts)]), np.concatenate([none, *(p[1] for p in parts)])
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -237,9 +238,10 @@ def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
     n = ids.count()
     bits = min(FILTER_BITS, 1 << max(12, (16 * max(1, n) - 1).bit_length()))
     h = ids.select(F.pmod(F.xxhash64("node"), F.lit(bits)).alias("h"))
-    words = h.groupBy(F.shiftright("h", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("b")).toPandas()
+    words = h.groupBy(F.shiftright("h", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits"))
     out = np.zeros(bits // 32, np.uint32)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    for part in packed_words(words).toLocalIterator():
+        out[np.frombuffer(part.words, np.int32)] = np.frombuffer(part.bits, np.uint32)
     return out, bits
 
 
