@@ -208,7 +208,7 @@ def by_bucket(h: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     b = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
     found, first = np.unique(b[order], return_index=True)
-    return [(int(k), part) for k, part in zip(found, np.split(order, first[1:]), strict=True)]
+    return [(int(k), part) for k, part in zip(found, np.split(order, first[1:]), strict=True)] if len(h) else []
 
 
 def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:

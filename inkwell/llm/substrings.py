@@ -8,11 +8,13 @@ can cover) is enough to compare the strings around it:
    them pass (and a few others: it prunes, it never decides);
 2. documents with a repeated anchor are kept in packets of about PACKET bytes; of each packet, one entry for each
    anchor and context hash goes to the anchor's bucket, however many documents of the packet hold it. A bucket answers
-   with the smallest doc_id of each context, and tells anchors that have several contexts;
-3. only the contexts of the latter are sent as bytes. A bucket sorts the LENGTH-byte strings of its contexts in memory
-   (``induced``), and equal ones give the smallest doc_id of each string. This takes the place of external induced
-   sorting, which the README gives figures for; a bucket holds all contexts of its anchors, so an anchor with very many
-   contexts needs as much memory in one task;
+   with the smallest doc_id of each context where the packet doesn't hold it itself, and tells anchors that have several
+   contexts;
+3. only the contexts of the latter are sent as bytes, to as many buckets as their number asks for. A bucket sorts the
+   LENGTH-byte strings of its contexts in memory (``induced``), one start at a time: documents that share a string hold
+   each of its anchors at the same place in it. Equal ones give the smallest doc_id of each string. This takes the place
+   of external induced sorting, which the README gives figures for; a bucket holds all contexts of its anchors, so an
+   anchor with very many contexts needs as much memory in one task;
 4. a packet gathers the answers, and removes.
 
 A hot passage costs one entry for each packet, not one for each document. Null text counts as empty. A null doc_id is
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_pass, by_bucket, in_bitmap, materialise, mix64, record, repeated_filter, table, texts
+from inkwell.llm.common import arrow_pass, by_bucket, in_bitmap, materialise, mix64, record, release, repeated_filter, table, texts
 
 LENGTH, KEY = 50, 26
 #: Starts of strings around one anchor, and bytes of its context.
@@ -39,8 +41,8 @@ PACKET, BUCKET_ENTRIES = 2 << 20, 1 << 20
 FILTER_BITS = 1 << 27
 #: A byte that UTF-8 never has.
 OUTSIDE = 0xFF
-#: Buckets of contexts for each bucket of hashes.
-FINER = 32
+#: Contexts of one bucket, and anchors that a packet looks at in one step.
+BUCKET_CONTEXTS, STEP = 1 << 16, 20_000
 NOBODY = np.iinfo(np.int64).max
 POWER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -189,31 +191,32 @@ class Packet:
     def bytes_of(self, pairs: np.ndarray) -> np.ndarray:
         """The contexts of these pairs."""
         out = np.full((len(pairs), CONTEXT), OUTSIDE, np.uint8)
-        for part in range(0, len(pairs), 20_000):
-            occurrence = self.sample[pairs[part : part + 20_000]]
+        for part in range(0, len(pairs), STEP):
+            occurrence = self.sample[pairs[part : part + STEP]]
             d = self.doc[occurrence]
             place = (self.at[occurrence] - (STARTS - 1))[:, None] + np.arange(CONTEXT)
             inside = (place >= 0) & (place < self.sizes[d][:, None])
-            rows = out[part : part + 20_000]
+            rows = out[part : part + STEP]
             rows[inside] = self.body[(place + self.starts[d][:, None])[inside]]
         return out
 
 
 def first_answers(found: DataFrame, buckets: int) -> DataFrame:
-    """packet, pairs, least (smallest doc_id of each pair's context anywhere) and several (whether its anchor has more contexts)."""
+    """packet, pairs, least (smallest doc_id of each pair's context anywhere), several (whether its anchor has more contexts) and n_several; only pairs of which the packet doesn't know all itself."""
     sent = pa.schema([("bucket", pa.int32()), ("packet", pa.int64()), ("pairs", pa.binary()), ("h", pa.binary()), ("c", pa.binary()), ("least", pa.binary())])
 
     def make():
         def one(batch):
             for row in batch.to_pylist():
                 p = Packet(row)
-                for b, part in by_bucket(p.pair_h, buckets):
-                    yield record(sent, bucket=[b], packet=[row["packet"]], pairs=[part.astype(np.int32).tobytes()], h=[p.pair_h[part].tobytes()], c=[p.pair_c[part].tobytes()], least=[p.least[part].tobytes()])
+                dealt = by_bucket(p.pair_h, buckets)
+                cut = lambda x: [x[part].tobytes() for _, part in dealt]  # noqa: E731, B023
+                yield record(sent, bucket=[b for b, _ in dealt], packet=[row["packet"]] * len(dealt), pairs=[part.astype(np.int32).tobytes() for _, part in dealt], h=cut(p.pair_h), c=cut(p.pair_c), least=cut(p.least))
 
         return one
 
     entries = arrow_pass(found.where("packet is not null"), make, "bucket int, packet long, pairs binary, h binary, c binary, least binary")
-    answer = pa.schema([("packet", pa.int64()), ("pairs", pa.binary()), ("least", pa.binary()), ("several", pa.binary())])
+    answer = pa.schema([("packet", pa.int64()), ("pairs", pa.binary()), ("least", pa.binary()), ("several", pa.binary()), ("n_several", pa.int64())])
 
     def reduce(group: pa.Table) -> pa.Table:
         cols = one_table(group)
@@ -229,24 +232,26 @@ def first_answers(found: DataFrame, buckets: int) -> DataFrame:
         kinds = np.bincount(h_of[new])
         out_least, out_several = np.empty(len(h), np.int64), np.empty(len(h), np.uint8)
         out_least[order], out_several[order] = low[group_of], kinds[h_of] > 1
+        keep = (out_least < least) | (out_several > 0)
+        pairs = np.concatenate([np.frombuffer(x, np.int32) for x in cols["pairs"]])
         ends = np.cumsum(size)
-        cut = lambda x: [x[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)]
-        return pa.Table.from_batches([record(answer, packet=cols["packet"], pairs=cols["pairs"], least=cut(out_least), several=cut(out_several))])
+        cut = lambda x: [x[e - n : e][keep[e - n : e]] for e, n in zip(ends, size, strict=True)]
+        several = cut(out_several)
+        return pa.Table.from_batches([record(answer, packet=cols["packet"], pairs=[x.tobytes() for x in cut(pairs)], least=[x.tobytes() for x in cut(out_least)], several=[x.tobytes() for x in several], n_several=[int(x.sum()) for x in several])])
 
-    return materialise(entries.groupBy("bucket").applyInArrow(reduce, "packet long, pairs binary, least binary, several binary"), "substring-answers")
+    return materialise(entries.groupBy("bucket").applyInArrow(reduce, "packet long, pairs binary, least binary, several binary, n_several long"), "substring-answers")
 
 
-def gathered(rows: dict[str, list], n: int, name: str, dtype, width: int = 1, missing=0) -> np.ndarray:
-    """One array over the packet's pairs from the buckets' answers."""
-    out = np.full((n, width) if width > 1 else n, missing, dtype)
+def gathered(rows: dict[str, list], name: str, out: np.ndarray) -> np.ndarray:
+    """out, an array over the packet's pairs, with the buckets' answers in their places."""
     for pairs, values in zip(rows["pairs"], rows[name], strict=True):
-        got = np.frombuffer(values, dtype)
-        out[np.frombuffer(pairs, np.int32)] = got.reshape(-1, width) if width > 1 else got
+        out[np.frombuffer(pairs, np.int32)] = np.frombuffer(values, out.dtype)
     return out
 
 
-def second_answers(found: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
-    """packet, pairs and least (STARTS smallest doc_ids for the strings of each pair) of the anchors with several contexts."""
+def second_answers(found: DataFrame, answers: DataFrame) -> DataFrame:
+    """packet, pairs and strings (STARTS smallest doc_ids for the strings of each pair) of the anchors with several contexts; only pairs of which a string is held by a smaller doc_id than the packet's."""
+    buckets = max(4, -(-(answers.agg(F.sum("n_several")).first()[0] or 0) // BUCKET_CONTEXTS))
     sent = pa.schema([("bucket", pa.int32()), ("packet", pa.int64()), ("pairs", pa.binary()), ("context", pa.binary()), ("least", pa.binary())])
 
     def ask(packet: pa.Table, answered: pa.Table) -> pa.Table:
@@ -254,13 +259,13 @@ def second_answers(found: DataFrame, answers: DataFrame, buckets: int) -> DataFr
         for row in packet.to_pylist():
             p = Packet(row)
             got = one_table(answered)
-            several = np.flatnonzero(gathered(got, len(p.pair_h), "several", np.uint8))
-            for b, chosen in by_bucket(p.pair_h[several], buckets * FINER):
-                part = several[chosen]
-                out.append(record(sent, bucket=[b], packet=[row["packet"]], pairs=[part.astype(np.int32).tobytes()], context=[p.bytes_of(part).tobytes()], least=[p.least[part].tobytes()]))
+            several = np.flatnonzero(gathered(got, "several", np.zeros(len(p.pair_h), np.uint8)))
+            dealt = by_bucket(p.pair_h[several], buckets)
+            cut = lambda x: [x[part].tobytes() for _, part in dealt]  # noqa: E731, B023
+            out.append(record(sent, bucket=[b for b, _ in dealt], packet=[row["packet"]] * len(dealt), pairs=cut(several.astype(np.int32)), context=cut(p.bytes_of(several)), least=cut(p.least[several])))
         return pa.Table.from_batches(out, sent)
 
-    entries = found.where("packet is not null").groupBy("packet").cogroup(answers.groupBy("packet")).applyInArrow(ask, "bucket int, packet long, pairs binary, context binary, least binary")
+    entries = found.where("packet is not null").groupBy("packet").cogroup(answers.drop("n_several").groupBy("packet")).applyInArrow(ask, "bucket int, packet long, pairs binary, context binary, least binary")
     answer = pa.schema([("packet", pa.int64()), ("pairs", pa.binary()), ("strings", pa.binary())])
 
     def reduce(group: pa.Table) -> pa.Table:
@@ -274,9 +279,17 @@ def second_answers(found: DataFrame, answers: DataFrame, buckets: int) -> DataFr
         _, one, same = np.unique(key, return_index=True, return_inverse=True)
         owner = np.full(len(one), NOBODY)
         np.minimum.at(owner, same, least)
-        low = string_minima(bytes_[one], owner, LENGTH)[same]
-        ends = np.cumsum(size)
-        return pa.Table.from_batches([record(answer, packet=cols["packet"], pairs=cols["pairs"], strings=[low[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)])])
+        low = string_minima(bytes_[one], owner, LENGTH)
+        best, ends = low.min(axis=1), np.cumsum(size)
+        told = {"packet": [], "pairs": [], "strings": []}
+        for packet, pairs, e, n in zip(cols["packet"], cols["pairs"], ends, size, strict=True):
+            mine = same[e - n : e]
+            keep = best[mine] < least[e - n : e]
+            if keep.any():
+                told["packet"].append(packet)
+                told["pairs"].append(np.frombuffer(pairs, np.int32)[keep].tobytes())
+                told["strings"].append(low[mine[keep]].tobytes())
+        return pa.Table.from_batches([record(answer, **told)])
 
     return materialise(entries.groupBy("bucket").applyInArrow(reduce, "packet long, pairs binary, strings binary"), "substring-strings")
 
@@ -293,16 +306,21 @@ def removed(found: DataFrame, answers: DataFrame, strings: DataFrame) -> DataFra
             got = one_table(answered)
             plain = {k: [v for v, keep in zip(got[k], got["least"], strict=True) if keep is not None] for k in ("pairs", "least")}
             fine = {k: [v for v, keep in zip(got[k], got["strings"], strict=True) if keep is not None] for k in ("pairs", "strings")}
-            whole = gathered(plain, len(p.pair_h), "least", np.int64, missing=NOBODY)
-            each = gathered(fine, len(p.pair_h), "strings", np.int64, STARTS, NOBODY)
-            low = np.minimum(whole[:, None], each)[p.pair]  # for each anchor, its STARTS strings
-            mine = p.ids[p.doc]
-            begin = p.at[:, None] - (STARTS - 1) + np.arange(STARTS)
-            hit = (low < mine[:, None]) & (begin >= 0) & (begin + LENGTH <= p.sizes[p.doc][:, None])
-            at = (begin + p.starts[p.doc][:, None])[hit]
+            whole = gathered(plain, "least", p.least.copy())  # what isn't told, the packet holds itself
+            each = np.frombuffer(b"".join(fine["strings"]), np.int64).reshape(-1, STARTS)
+            place = np.full(len(whole), -1)
+            place[np.frombuffer(b"".join(fine["pairs"]), np.int32)] = np.arange(len(each))
             edge = np.zeros(len(p.body) + 1, np.int32)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + LENGTH, -1)
+            for k in range(0, len(p.pair), STEP):
+                pair, doc = p.pair[k : k + STEP], p.doc[k : k + STEP]
+                low = np.repeat(whole[pair][:, None], STARTS, axis=1)  # for each anchor, its STARTS strings
+                told = np.flatnonzero(place[pair] >= 0)
+                low[told] = np.minimum(low[told], each[place[pair[told]]])
+                begin = p.at[k : k + STEP, None] - (STARTS - 1) + np.arange(STARTS)
+                hit = (low < p.ids[doc][:, None]) & (begin >= 0) & (begin + LENGTH <= p.sizes[doc][:, None])
+                at = (begin + p.starts[doc][:, None])[hit]
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + LENGTH, -1)
             gone = np.cumsum(edge)[:-1] > 0
             cols = {f.name: [] for f in schema}
             for k in range(len(p.ids)):
@@ -322,10 +340,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; kept bytes of rows that lose some."""
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(4, -(-size // (13 * BUCKET_ENTRIES)))
+    spark = docs.sparkSession
     bitmap = repeated_anchors(docs, buckets)
+    release(spark)  # no step reads the shuffle files of the one before
     found = packets(docs, bitmap)
     answers = first_answers(found, buckets)
-    strings = second_answers(found, answers, buckets)
+    release(spark)
+    strings = second_answers(found, answers)
+    release(spark)
     changed = removed(found, answers, strings).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "kept")
     same = found.where("packet is null").select(F.col("done_id").alias("doc_id"), F.col("done_bytes").alias("n_bytes"), F.lit(0).cast("long"), F.lit(0).cast("long"), "done_sha", F.lit(None).cast("binary"))
     return changed.union(same)

@@ -56,3 +56,41 @@ def test_removal_equals_brute_force(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     sf = documents(spark, [(1, "x")], tmp_path)
     assert s.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet").limit(0)).count() == 0
+
+
+def test_string_minima_equal_brute_force_in_little_memory():
+    import tracemalloc
+
+    from inkwell.llm.induced import string_minima
+
+    rng = np.random.default_rng(3)
+    n = 20_000
+    contexts = np.repeat(rng.integers(97, 99, (40, s.CONTEXT)).astype(np.uint8), n // 40, axis=0)
+    contexts[:, s.STARTS - 1 : s.LENGTH] = contexts[0, s.STARTS - 1 : s.LENGTH]  # one anchor with many contexts
+    hit = rng.random(contexts.shape) < 0.02
+    hit[:, s.STARTS - 1 : s.LENGTH] = False
+    contexts[hit] = 122
+    owners = rng.permutation(n).astype(np.int64)
+    tracemalloc.start()
+    got = string_minima(contexts, owners, s.LENGTH)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    least = {}
+    for k in np.argsort(owners):
+        for start in range(s.STARTS):
+            least.setdefault((start, contexts[k, start : start + s.LENGTH].tobytes()), owners[k])
+    for k in range(0, n, 97):
+        assert got[k].tolist() == [least[start, contexts[k, start : start + s.LENGTH].tobytes()] for start in range(s.STARTS)]
+    assert peak < 800 * n
+
+
+def test_packets_are_told_only_what_they_do_not_hold(spark, monkeypatch):
+    made = {}
+    keep = s.materialise
+    monkeypatch.setattr(s, "materialise", lambda df, label: made.setdefault(label, keep(df, label)))
+    text = " ".join(f"w{k * 7919 % 1000}" for k in range(1000))
+    docs = spark.range(1, 3, 1, 2).selectExpr("id AS doc_id", f"'{text}' AS text")  # two tasks, so two packets
+    got = {r.doc_id: r.n_removed for r in s.remove_repeats(docs).collect()}
+    assert got == {1: 0, 2: len(text)}
+    told = sum(len(r.pairs) // 4 for r in made["substring-answers"].collect())
+    assert told == len(s.anchors(np.frombuffer(text.encode(), np.uint8))[0])
