@@ -63,12 +63,29 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to any more, which it does when the driver collects its garbage; then the driver hands freed memory back to the system."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the files of the last query go with the second collection
+        gc.collect()
+        detach(spark)
+        spark._jvm.System.gc()
     trim_native(spark)
     give_back()
 
 
+def detach(spark: SparkSession) -> None:
+    """Lets go of the JVM objects whose Python ones are gone. Py4J does so in a thread that looks once a second, too late for the garbage collection that follows."""
+    queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    while queue:
+        try:
+            task = queue.pop()
+        except IndexError:
+            break
+        if not isinstance(task, tuple):  # the thread's order to end
+            queue.append(task)
+            break
+        client, target = task
+        client.garbage_collect_object(target, False)
+
+
 def trim_native(spark: SparkSession) -> str | None:
     """malloc_trim in the driver's JVM, as the diagnostic command System.trim_native_heap: planning and compiling hundreds of stages frees memory that the C library keeps otherwise. None where the JVM has no such command."""
     jvm, new = spark._jvm, spark.sparkContext._gateway.new_array

@@ -35,3 +35,21 @@ def test_common_buckets_and_id_filters_reach_the_driver_as_packed_rows(spark, tm
     bitmap, bits = jaccard.id_filter(spark.range(0, 500, 7).withColumnRenamed("id", "node"))
     h = spark.range(0, 500, 7).selectExpr(f"pmod(xxhash64(id), {bits}) AS h").toArrow()["h"].to_numpy()
     assert ((bitmap[h >> 5] >> (h & 31).astype("uint32")) & 1).all() and sum(int(x).bit_count() for x in bitmap) <= len(h)
+
+
+def test_release_frees_the_shuffle_files_of_what_is_gone_at_once(spark):
+    import time
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum("shuffle_" in str(f) for f in disk.getAllFiles().mkString("\n").split("\n"))
+    common.release(spark)
+    time.sleep(2)
+    common.release(spark)
+    time.sleep(1)
+    before = files()
+    for _ in range(3):
+        spark.range(1000).repartition(5, "id").groupBy("id").count().collect()
+        assert files() > before
+        common.release(spark)
+        time.sleep(0.5)
+        assert files() == before
