@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, decontaminate, jaccard, pii, toxicity
-from inkwell.llm.common import materialise, table
+from inkwell.llm.common import materialise, release, table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,4 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"pipeline-{name}")
+            release(spark)  # a stage's shuffle files and the driver's memory of it go before the next begins
     return docs

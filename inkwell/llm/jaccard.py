@@ -458,6 +458,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     A bitmap of the ids to drop lets most texts stay where they are; only rows that it can't clear go through the join.
     """
+    release(docs.sparkSession)  # of whatever ran before
     node, hashed = unused(docs.columns, "_node"), unused(docs.columns, "_hash")
     drop = materialise(join(docs, words, percent).where("component <> doc_id").select(F.col("doc_id").alias("node")).distinct(), "jaccard-dropped")
     release(docs.sparkSession)

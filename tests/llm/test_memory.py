@@ -53,3 +53,13 @@ def test_release_frees_the_shuffle_files_of_what_is_gone_at_once(spark):
         common.release(spark)
         time.sleep(0.5)
         assert files() == before
+
+
+def test_the_pipeline_lets_go_of_a_stage_before_the_next(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    said = []
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(x, lambda spark, docs, sf, x=x: said.append(x) or docs) for x in "abc"])
+    monkeypatch.setattr(corpus_pipeline, "release", lambda spark: said.append("release"), raising=False)
+    assert corpus_pipeline.run(spark, documents(spark, [(1, "x")], tmp_path)).count() == 1
+    assert said == ["a", "release", "b", "release", "c"]
