@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Rows that one Arrow batch holds at most; texts are long, so batches are short.
 ARROW_ROWS = 256
+#: Edges up to which one task finds the components of a graph (16 bytes each); larger graphs go through rounds of joins.
+EDGES_AT_ONCE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -192,14 +194,19 @@ def written(spans: F.Column | str, kinds: tuple[str, ...]) -> F.Column:
 
 
 def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for each node of the edges (a, b): component is the smallest node that links reach.
+    """(node, component) for each node of the edges (a, b) but a component's smallest: component is the smallest node that links reach.
 
     Alternating large-star and small-star rounds. Each round reads and writes the edge list once, in the shared
-    folder; a node's partners are only ever reduced to their minimum, so a hot node needs no list in one task.
+    folder; a node's partners are only ever reduced to their minimum, so a hot node needs no list in one task. A graph of
+    EDGES_AT_ONCE edges at most needs no rounds, whose many short tasks cost more than its work.
     """
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     cur = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-edges")
     before = mark(cur)
+    if before[0] <= EDGES_AT_ONCE:
+        out = materialise(arrow_pass(cur.coalesce(1), at_once, "node long, component long"), f"{label}-solved")
+        discard(cur)
+        return out
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -220,6 +227,32 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     return cur.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
 
 
+def at_once():
+    """The make of an arrow_pass over all edges (a, b) of a graph in one task: node and component of each node but the smallest of its component."""
+    schema = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+    held: list[np.ndarray] = []
+
+    def one(batch):
+        held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
+        return ()
+
+    def finish():
+        if held:
+            nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            x, y = at.reshape(2, -1)
+            root = np.arange(len(nodes))
+            while (differ := root[x] != root[y]).any():
+                p, q = root[x[differ]], root[y[differ]]
+                np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+                while ((up := root[root]) != root).any():
+                    root = up
+            low = np.flatnonzero(root != np.arange(len(nodes)))
+            yield record(schema, node=nodes[low], component=nodes[root[low]])
+
+    one.finish = finish
+    return one
+
+
 def by_bucket(h: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """The buckets that hashes fall into, each with their places."""
     b = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
@@ -282,14 +315,19 @@ def repeated_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[n
         return pa.Table.from_batches([record(marked, word=words.astype(np.int32), bits=bits.astype(np.int64))])
 
     words = parts.groupBy("bucket").applyInArrow(reduce, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return bitmap_of(words, n_bits)
+
+
+def bitmap_of(words: DataFrame, n_bits: int) -> np.ndarray:
+    """The bitmap of n_bits whose words (word, bits) are these, once each; 0 elsewhere."""
     out = np.zeros(n_bits // 32, np.uint32)
-    for part in packed_words(words).toLocalIterator():
-        out[np.frombuffer(part.words, np.int32)] = np.frombuffer(part.bits, np.uint32)
+    for word, bits in packed_words(words):
+        out[word] = bits.view(np.uint32)
     return out
 
 
-def packed_words(words: DataFrame) -> DataFrame:
-    """(words, bits) as few binary rows: no more entries in all than the bitmap has words."""
+def packed_words(words: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(word, bits), 32-bit integers, in the driver; as one packed row for each partition, all of them by one job. A job for each partition in turn would cost a fixed time each, which more machines do not shorten."""
     schema = pa.schema([("words", pa.binary()), ("bits", pa.binary())])
 
     def make():
@@ -307,4 +345,5 @@ def packed_words(words: DataFrame) -> DataFrame:
         one.finish = finish
         return one
 
-    return arrow_pass(words, make, "words binary, bits binary")
+    rows = arrow_pass(words, make, "words binary, bits binary").collect()  # no more entries in all than the bitmap has words
+    return [(np.frombuffer(r.words, np.int32), np.frombuffer(r.bits, np.int32)) for r in rows]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_pass, components, discard, in_bitmap, materialise, mix64, packed_words, record, release, repeated_filter, table, texts, unused
+from inkwell.llm.common import arrow_pass, bitmap_of, components, discard, in_bitmap, materialise, mix64, packed_words, record, release, repeated_filter, table, texts, unused
 
 WORDS, PERCENT = 4, 85
 #: Buckets of the estimate of common shingles; rows of one task that make a bucket common; both bound what is sent out.
@@ -157,7 +157,7 @@ def common_buckets(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
         return one
 
     rows = arrow_pass(docs.select("text"), make, "bucket int, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).alias("n"))
-    parts = [(np.frombuffer(r.words, np.int32), np.frombuffer(r.bits, np.int32)) for r in packed_words(rows.select(F.col("bucket").alias("word"), F.col("n").alias("bits"))).toLocalIterator()]
+    parts = packed_words(rows.select(F.col("bucket").alias("word"), F.col("n").alias("bits")))
     none = np.zeros(0, np.int32)
     return np.concatenate([none, *(p[0] for p in parts)]), np.concatenate([none, *(p[1] for p in parts)])
 
@@ -234,15 +234,12 @@ def alike(na: str, pa_: str, nb: str, pb: str, percent: int) -> F.Column:
 
 
 def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of hashed ids, of FILTER_BITS bits at most, whatever the number of ids."""
-    n = ids.count()
+    """A bitmap of hashed ids (node, which may repeat), of FILTER_BITS bits at most, whatever the number of ids. An estimate of their number sets its size."""
+    n = ids.agg(F.approx_count_distinct("node")).first()[0]
     bits = min(FILTER_BITS, 1 << max(12, (16 * max(1, n) - 1).bit_length()))
     h = ids.select(F.pmod(F.xxhash64("node"), F.lit(bits)).alias("h"))
     words = h.groupBy(F.shiftright("h", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits"))
-    out = np.zeros(bits // 32, np.uint32)
-    for part in packed_words(words).toLocalIterator():
-        out[np.frombuffer(part.words, np.int32)] = np.frombuffer(part.bits, np.uint32)
-    return out, bits
+    return bitmap_of(words, bits), bits
 
 
 def packed(h: np.ndarray) -> bytes:
@@ -354,7 +351,7 @@ def nodes_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their sketches leave room for, materialised."""
     wide = materialise(pairs, "jaccard-proposed")
-    needed = materialise(nodes_in(sketches, wide.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "jaccard-sketches")
+    needed = materialise(nodes_in(sketches, wide.select(F.explode(F.array("a", "b")).alias("node"))), "jaccard-sketches")
     end = lambda x: needed.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     near = wide.join(end("b"), "b").join(end("a"), "a").where(close("sa", "na", "sb", "nb", percent)).select("a", "b").distinct()
     out = materialise(near, "jaccard-pairs")
@@ -369,7 +366,7 @@ def rest_pairs(live: DataFrame, state: DataFrame, sketches: DataFrame, percent:
     Of each shingle the groups outside its largest component meet all groups; those inside it needn't meet each other.
     """
     # a group of several classes has as many sketches, and is let pass
-    own = nodes_in(sketches.select("node", "sketch"), live.select(F.col("gid").alias("node")).distinct()).withColumnRenamed("node", "gid")
+    own = nodes_in(sketches.select("node", "sketch"), live.select(F.col("gid").alias("node"))).withColumnRenamed("node", "gid")
     spread = materialise(live.join(state, "gid").join(own.groupBy("gid").agg(F.min("sketch").alias("sketch")), "gid", "left").withColumn("sketch", F.when(F.col("classes") == 1, F.col("sketch"))), "jaccard-rest")
     sizes = spread.groupBy("token", "low").agg(F.count("*").alias("k"))
     major = sizes.groupBy("token").agg(F.max(F.struct("k", "low")).alias("m")).select("token", F.col("m.low").alias("major"))
@@ -434,7 +431,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             discard(met)
         links = 0
         if not proposed.isEmpty():
-            sets = sets_of(docs, proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
+            sets = sets_of(docs, proposed.select(F.explode(F.array("a", "b")).alias("node")), words)
             release(spark)
             found = materialise(verify(proposed, sets, percent), "jaccard-links")
             discard(sets)

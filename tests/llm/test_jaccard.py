@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from inkwell.llm import jaccard
+from inkwell.llm import common, jaccard
 
 from .helpers import EDGES, documents
 
@@ -102,3 +102,48 @@ def test_keep_one_keeps_columns_of_any_name(spark):
     assert kept.columns == docs.columns
     assert sorted(tuple(r) for r in kept.where("doc_id is not null").collect()) == [rows[0], rows[2]]
     assert kept.where("doc_id is null").count() == 1
+
+
+def jobs_of(spark, call):
+    """How many Spark jobs a call takes where a shuffle has 40 partitions that aren't coalesced, and its result."""
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        before = scheduler.numTotalJobs()
+        return call(), scheduler.numTotalJobs() - before
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_bitmaps_take_no_job_for_each_partition(spark):
+    rows = [(k, "the same four words again " + " ".join(f"w{k}x{j}" for j in range(9))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    (buckets, counts), jobs = jobs_of(spark, lambda: jaccard.common_buckets(docs, 4))
+    assert len(set(buckets.tolist())) == len(buckets) > 0 and 200 in counts.tolist() and jobs < 20
+    ids = spark.range(0, 5000, 7).withColumnRenamed("id", "node")
+    (bitmap, bits), jobs = jobs_of(spark, lambda: jaccard.id_filter(ids.union(ids)))
+    h = spark.range(0, 5000, 7).selectExpr(f"pmod(xxhash64(id), {bits}) AS h").toArrow()["h"].to_numpy()
+    assert ((bitmap[h >> 5] >> (h & 31).astype("uint32")) & 1).all() and jobs < 20
+    hashes = lambda batch: [np.array([1 << k, 7919 * k + 5], np.uint64) for k in (batch.column("id").to_numpy() % 5).tolist()]
+    repeated, jobs = jobs_of(spark, lambda: common.repeated_filter(spark.range(10), hashes, 40, 1 << 16))
+    assert common.in_bitmap(repeated, np.array([x for k in range(5) for x in (1 << k, 7919 * k + 5)], np.uint64)).all() and jobs < 20
+
+
+def test_small_graphs_need_no_rounds_and_both_ways_agree(spark, monkeypatch):
+    rnd = random.Random(4)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(-5, 900), (900, 7), (3, 3)] + [(rnd.randrange(1000, 1300), rnd.randrange(1000, 1300)) for _ in range(160)] + [(5000, k) for k in range(4000, 4060)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    small, jobs = jobs_of(spark, lambda: sorted(map(tuple, common.components(df, "test").collect())))
+    assert jobs < 15
+    monkeypatch.setattr(common, "EDGES_AT_ONCE", 0)
+    assert small == sorted(map(tuple, common.components(df, "test").collect()))
+    low = dict(small)  # a component's smallest node has no row
+    assert not {3, -5, 100, 4000} & low.keys() and low[900] == low[7] == -5 and low[160] == 100 and low[5000] == low[4059] == 4000
+    assert all(low.get(a, a) == low.get(b, b) <= min(a, b) for a, b in edges if a != b)
+    assert common.components(df.limit(0), "test").count() == 0
+    monkeypatch.undo()
+    assert common.components(df.limit(0), "test").count() == 0
