@@ -14,8 +14,11 @@ SEED = "merge-order-42:"
 def vocabulary(d: Dialect) -> str:
     """CTEs up to vocab(id, token): prefixes and suffixes of frequent lower-case ASCII words, ids by length and token."""
     lowered = d.all_matches("lower(text)", "[a-z]+")
-    return f"""found AS (SELECT doc_id, {lowered} AS w FROM {d.table('documents')}), words AS ({d.unnest('doc_id', 'w', 'found')}),
-    frequent AS (SELECT val AS word FROM words GROUP BY val HAVING count(*) >= {FREQUENT}),
+    frequent = f"""found AS (SELECT doc_id, {lowered} AS w FROM {d.table('documents')}), words AS ({d.unnest('doc_id', 'w', 'found')}),
+    frequent AS (SELECT val AS word FROM words GROUP BY val HAVING count(*) >= {FREQUENT})"""
+    if getattr(d, "spark", None) is not None:  # a statement names the vocabulary up to eight times
+        frequent = f"frequent AS (SELECT word FROM {d.held('frequent', f'WITH {frequent} SELECT word FROM frequent')})"
+    return f"""{frequent},
     cut AS ({d.series('word', '1', str(LONGEST), 'frequent')}),
     pieces AS (SELECT substr(word, 1, CAST(k AS INT)) AS token FROM cut WHERE k <= length(word) UNION SELECT substr(word, CAST(length(word) - k + 1 AS INT)) AS token FROM cut WHERE k <= length(word)),
     vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY length(token), token) - 1 AS BIGINT) AS id FROM pieces)"""
@@ -42,6 +45,9 @@ def vocab_checks(d: Dialect) -> str:
 def merge_parse(d: Dialect) -> str:
     """Rules as written, parsed again; a rule is malformed unless it has two parts that join to a token."""
     left, right = d.extract("rule", "^([^ ]+) ([^ ]+)$", 1), d.extract("rule", "^([^ ]+) ([^ ]+)$", 2)
+    if type(d) is not Dialect:  # tokens are distinct and never null, so that a join on equality says what NOT IN does, which Spark answers by comparing all pairs
+        return f"""WITH {merged(d)}, rules AS (SELECT rank_a, l || ' ' || r AS rule FROM original), parsed AS (SELECT rank_a, {left} AS l, {right} AS r FROM rules)
+    SELECT p.rank_a, p.l, p.r, t.token IS NULL AS malformed FROM parsed p LEFT JOIN vocab t ON t.token = p.l || p.r"""
     return f"""WITH {merged(d)}, rules AS (SELECT rank_a, l || ' ' || r AS rule FROM original)
     SELECT rank_a, {left} AS l, {right} AS r, ({left} || {right}) NOT IN (SELECT token FROM vocab) AS malformed FROM rules"""
 
