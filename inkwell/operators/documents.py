@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions.blocks import Walker
 from inkwell.functions.segment import plain, segment
-from inkwell.operators.tokens import merged
+from inkwell.operators.tokens import LONGEST, merged
 from inkwell.plans.dialect import SparkDialect
 
 BLOCK = "page_id long, block_no int, xpath string, kind string, tag string, text string, flags array<string>"
@@ -76,6 +79,60 @@ def journal_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quick.union(names.where(~ascii_).select("name", fold("name")))
 
 
+class Rules:
+    """Merge rules as arrays: sorted keys, and each key's ranks and whether it was added; 17 bytes a rule, where dicts of pairs take hundreds for each arm.
+
+    A key has 5 bits for each letter a-z of both parts and 4 bits for the length of the left one.
+    """
+
+    def __init__(self, keys: np.ndarray, rank_c: np.ndarray, rank_d: np.ndarray, added: np.ndarray):
+        self.keys, self.rank_c, self.rank_d, self.added = keys, rank_c, rank_d, added
+
+    @classmethod
+    def of(cls, rules: pa.Table) -> Rules:
+        keys = np.empty(rules.num_rows, np.int64)
+        at = 0
+        for part in rules.column("rule").chunks:
+            keys[at : at + len(part)] = [pair_key(*x.split(" ")) for x in part.to_pylist()]
+            at += len(part)
+        order = np.argsort(keys)
+        column = lambda name, kind: rules.column(name).to_numpy().astype(kind)[order]
+        return cls(keys[order], column("rank_c", np.int32), column("rank_d", np.int32), column("is_added", bool))
+
+    def arm(self, name: str) -> Arm:
+        return Arm(self, self.rank_c if name in "AC" else self.rank_d, name in "CD")
+
+
+class Arm:
+    """The ranks of one merge list, looked up like a dict of pairs. Its length is above every rank."""
+
+    def __init__(self, rules: Rules, ranks: np.ndarray, whole: bool):
+        self.keys, self.ranks, self.added, self.whole = memoryview(rules.keys), memoryview(ranks), rules.added, whole
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def get(self, pair: tuple[str, str], default: int) -> int:
+        key = pair_key(*pair)
+        at = bisect_left(self.keys, key)
+        if at == len(self.keys) or self.keys[at] != key or not self.whole and self.added[at]:
+            return default
+        return self.ranks[at]
+
+    def __contains__(self, pair: tuple[str, str]) -> bool:
+        return self.get(pair, len(self)) < len(self)
+
+
+def pair_key(l: str, r: str) -> int:
+    """A number for a pair of lower-case ASCII parts; 0, which no rule has, for pairs longer than a token."""
+    if len(l) + len(r) > LONGEST:
+        return 0
+    key = 0
+    for byte in (l + r).encode():
+        key = key << 5 | byte - 96
+    return key << 4 | len(l)
+
+
 def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     """Pair merging by least rank, leftmost first."""
     parts = list(word)
@@ -89,19 +146,17 @@ def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 
 def encoded_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """word counts of each document, and each distinct word's tokens under every arm: encoded once, joined back."""
-    rules = spark.sql(f"WITH {merged(SparkDialect(sf_dir, spark))} SELECT l, r, rank_c, rank_d, is_added FROM arm_d").collect()  # bounded by the vocabulary
-    ranks = {"A": {(x.l, x.r): x.rank_c for x in rules if not x.is_added}, "C": {(x.l, x.r): x.rank_c for x in rules}, "D": {(x.l, x.r): x.rank_d for x in rules}}
-    ranks["E"] = {(x.l, x.r): x.rank_d for x in rules if not x.is_added}
-    shared = spark.sparkContext.broadcast(ranks)
-    counts = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("doc_id", "word").count()
+    rules = spark.sql(f"WITH {merged(SparkDialect(sf_dir, spark))} SELECT concat(l, ' ', r) AS rule, rank_c, rank_d, is_added FROM arm_d").toArrow()  # bounded by the vocabulary
+    shared = spark.sparkContext.broadcast(Rules.of(rules))
+    del rules
+    counts = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).where("word IS NOT NULL").groupBy("doc_id", "word").count()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = {"word": batch["word"]}
             for arm in ARMS:
-                by = shared.value[arm]
-                size = len(by)
-                out[f"tokens_{arm.lower()}"] = [encode_word(w, by) if size else list(w) for w in batch["word"]]
+                by = shared.value.arm(arm)
+                out[f"tokens_{arm.lower()}"] = [encode_word(w, by) for w in batch["word"]]
             yield pd.DataFrame(out)
 
     schema = "word string, " + ", ".join(f"tokens_{a.lower()} array<string>" for a in ARMS)

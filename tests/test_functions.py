@@ -3,12 +3,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkwell.functions.blocks import Walker
 from inkwell.functions.segment import REF_CLOSE, REF_OPEN, plain, segment
-from inkwell.functions.statistics import bounded_stream, resampled_means, seeded_permutation
-from inkwell.operators.documents import encode_word
+from inkwell.functions.statistics import bounded_stream, limbs, resampled_means, seeded_permutation
+from inkwell.operators.documents import Rules, encode_word
 from inkwell.operators.records import tokenizer_invariants
 from inkwell.operators.text import nonprose_prefix
 from inkwell.plans.dialect import SparkDialect
@@ -81,3 +82,28 @@ def test_metadata_before_and_after_prose(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "In all. The end.", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in spark.sql(nonprose_prefix(SparkDialect(str(tmp_path), spark))).collect()}
     assert got == {(1, 1, "omitted_before_narrative"), (1, 2, "omitted_before_narrative"), (1, 4, "metadata_after_narrative_start")}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 3000])
+def test_resampled_means_are_correctly_rounded(n):
+    draw, stream = random.Random(n), random.Random(11)
+    values = [draw.choice([0.0, 1e-17, -1.5, 3e5, draw.gauss(0, 1), draw.gauss(0, 1e-12)]) for _ in range(n)]
+    times = 2 + 600_000 // n % 400
+    want = [math.fsum(values[stream.randrange(n)] for _ in range(n)) / n for _ in range(times)]
+    assert resampled_means(np.array(values), 11, times).tolist() == want
+
+
+def test_limbs_add_up_exactly():
+    values = np.array([random.Random(k).gauss(0, 10.0 ** (k % 7 - 3)) for k in range(2000)])
+    parts = limbs(values, 2000)
+    assert (sum(parts[::-1]) == values).all() and math.fsum(p.sum() for p in parts) == math.fsum(values)
+
+
+def test_rules_as_arrays_rank_like_dicts():
+    rows = [("a", "b", 5, 2, False), ("ab", "c", 1, 4, True), ("b", "c", 0, 0, False), ("zz", "zzzzz", 2, 1, False)]
+    made = Rules.of(pa.table({"rule": [f"{l} {r}" for l, r, *_ in rows], "rank_c": [x[2] for x in rows], "rank_d": [x[3] for x in rows], "is_added": [x[4] for x in rows]}))
+    for arm, at, whole in (("A", 2, False), ("C", 2, True), ("D", 3, True), ("E", 3, False)):
+        plain = {(x[0], x[1]): x[at] for x in rows if whole or not x[4]}
+        for word in ("abc", "bcab", "zzzzzzz", "q", "abcabcabcabcabcabc"):
+            assert encode_word(word, made.arm(arm)) == encode_word(word, plain)
+    assert not hasattr(made, "__dict__") or sum(x.nbytes for x in vars(made).values()) == 17 * len(rows)
