@@ -35,3 +35,10 @@ def test_hash_bootstrap_draws_as_often_as_the_reference(spark, tmp_path):
         picks = [[int(hashlib.sha256(f"r{k}:{place}".encode()).hexdigest()[:8], 16) % len(values) for place in range(1, len(values) + 1)] for k in range(1, 20001)]
         low, high = np.percentile(values[np.array(picks)].mean(1), (2.5, 97.5))
         assert abs(got[batch].low - low) < 2e-6 and abs(got[batch].high - high) < 2e-6
+
+
+def test_malformed_rules_are_found_without_comparing_all_pairs(spark, tmp_path):
+    sf = documents(spark, [(k, "alpha beta") for k in range(30)], tmp_path)
+    got = registry.QUERIES["merge_parse"](spark, sf)
+    assert got.count() > 0 and not got.where("malformed").count()
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
