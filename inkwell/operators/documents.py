@@ -22,6 +22,8 @@ from inkwell.plans.dialect import SparkDialect
 BLOCK = "page_id long, block_no int, xpath string, kind string, tag string, text string, flags array<string>"
 #: Rank arms: merge lists A (original), C (completed), D (C in seeded order), E (D without the added rules).
 ARMS = ("A", "C", "D", "E")
+#: Pairs that a worker remembers the ranks of, for each arm.
+RECENT = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,16 +110,21 @@ class Arm:
 
     def __init__(self, rules: Rules, ranks: np.ndarray, whole: bool):
         self.keys, self.ranks, self.added, self.whole = memoryview(rules.keys), memoryview(ranks), rules.added, whole
+        self.recent: dict[tuple[str, str], int] = {}
 
     def __len__(self) -> int:
         return len(self.keys)
 
     def get(self, pair: tuple[str, str], default: int) -> int:
-        key = pair_key(*pair)
-        at = bisect_left(self.keys, key)
-        if at == len(self.keys) or self.keys[at] != key or not self.whole and self.added[at]:
-            return default
-        return self.ranks[at]
+        rank = self.recent.get(pair)
+        if rank is None:
+            if len(self.recent) == RECENT:
+                self.recent.clear()
+            key = pair_key(*pair)
+            at = bisect_left(self.keys, key)
+            absent = at == len(self.keys) or self.keys[at] != key or not self.whole and self.added[at]
+            rank = self.recent[pair] = -1 if absent else self.ranks[at]
+        return default if rank < 0 else rank
 
     def __contains__(self, pair: tuple[str, str]) -> bool:
         return self.get(pair, len(self)) < len(self)
@@ -152,10 +159,10 @@ def encoded_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     counts = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).where("word IS NOT NULL").groupBy("doc_id", "word").count()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arms = {arm: shared.value.arm(arm) for arm in ARMS}
         for batch in batches:
             out = {"word": batch["word"]}
-            for arm in ARMS:
-                by = shared.value.arm(arm)
+            for arm, by in arms.items():
                 out[f"tokens_{arm.lower()}"] = [encode_word(w, by) for w in batch["word"]]
             yield pd.DataFrame(out)
 
