@@ -22,6 +22,8 @@ from inkwell.plans.dialect import SparkDialect
 BLOCK = "page_id long, block_no int, xpath string, kind string, tag string, text string, flags array<string>"
 #: Rank arms: merge lists A (original), C (completed), D (C in seeded order), E (D without the added rules).
 ARMS = ("A", "C", "D", "E")
+#: Documents that are split at a time.
+DOCUMENTS = 64
 #: Pairs that a worker remembers the ranks of, for each arm.
 RECENT = 1 << 16
 
@@ -55,17 +57,24 @@ def doc_blocks_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_split_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences by the second rule set, with places in the text, and each document's distinct flags."""
 
-    @F.pandas_udf("struct<sentences:array<struct<text:string,start:int,stop:int>>,flags:array<string>>")
-    def split(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            t = t or ""
-            found = segment(t)
-            rows.append(([{"text": plain(t[a:b]), "start": a, "stop": b} for a, b in found.spans], sorted(set(found.flags))))
-        return pd.DataFrame(rows, columns=["sentences", "flags"])
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", split("text").alias("s"))
-    return docs.select("doc_id", "s.flags", F.posexplode("s.sentences").alias("pos", "x")).select("doc_id", F.expr("pos + 1").alias("sentence_no"), "x.text", "x.start", "x.stop", "flags")
+    kinds = pa.list_(pa.string())
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCUMENTS):
+                rows = []
+                part = batch.slice(at, DOCUMENTS)
+                for key, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    t = t or ""
+                    found = segment(t)
+                    flags = sorted(set(found.flags))
+                    rows += [(key, k, plain(t[a:b]), a, b, flags) for k, (a, b) in enumerate(found.spans, 1)]
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                types = (batch.schema.field("doc_id").type, pa.int32(), pa.string(), pa.int32(), pa.int32(), kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "sentence_no", "text", "start", "stop", "flags"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(split, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sentence_no int, text string, start int, stop int, flags array<string>")
 
 
 def journal_key(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,12 @@ def test_malformed_rules_are_found_without_comparing_all_pairs(spark, tmp_path):
     got = registry.QUERIES["merge_parse"](spark, sf)
     assert got.count() > 0 and not got.where("malformed").count()
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentences_are_handed_on_by_few_documents(spark, tmp_path, monkeypatch):
+    kind = type(spark.range(1))
+    sf, seen, run = documents(spark, [(k, "One is here. Two is.") for k in range(500)], tmp_path), [], kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, schema: seen.append((df, f)) or run(df, f, schema))
+    assert registry.QUERIES["sentence_split_v2"](spark, sf).count() == 1000
+    (df, split), = seen
+    assert [b.num_rows for b in split(iter(df.coalesce(1).toArrow().combine_chunks().to_batches()))] == [128] * 7 + [104]
