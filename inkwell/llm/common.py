@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that one Arrow batch holds at most; texts are long, so batches are short.
-ARROW_ROWS = 256
+#: Rows that one Arrow batch holds at most, and bytes at which it ends; texts are long, so batches are short.
+ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
+#: A row group of large rows: compressed bytes at which it ends, and rows at most.
+GROUP_BYTES, GROUP_ROWS = 8 << 20, 64
 #: Edges up to which one task finds the components of a graph (16 bytes each); larger graphs go through rounds of joins.
 EDGES_AT_ONCE = 1 << 18
 
@@ -44,11 +46,16 @@ def unused(columns: Iterable[str], name: str) -> str:
     return name
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation."""
+def materialise(df: DataFrame, label: str, large_rows: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation.
+
+    Large rows: of megabytes each. Parquet would look at the size of a row group after 100 rows only, and hold that many of
+    them at a time in its writer and in its reader; it looks after each row then, and groups are small.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    groups = {"parquet.block.size": str(GROUP_BYTES), "parquet.block.row.count.limit": str(GROUP_ROWS), "parquet.page.size.row.check.min": "1"} if large_rows else {}
+    df.write.option("compression", "zstd").options(**groups).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._inkwell_path = path
     return out
@@ -105,8 +112,9 @@ def trim_native(spark: SparkSession) -> str | None:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Arrow batches of ARROW_ROWS rows at most, so that long texts fit in a worker's memory."""
+    """Arrow batches of ARROW_ROWS rows at most, which end at ARROW_BYTES, so that long texts fit in a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 #: What a worker process remembers from task to task, and the keys of it that its present task has asked for.

@@ -25,6 +25,7 @@ held whole in a task, with some 30 times its bytes in arrays. Other columns are
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ FILTER_BITS = 1 << 27
 OUTSIDE = 0xFF
 #: Contexts of one bucket, and anchors that a packet looks at in one step.
 BUCKET_CONTEXTS, STEP = 1 << 16, 20_000
+#: Entries of a bucket that are sorted at a time.
+SLICE = 1 << 17
 NOBODY = np.iinfo(np.int64).max
 POWER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,6 +107,35 @@ def one_table(parts) -> dict[str, list]:
     return parts.to_pydict()
 
 
+def one_by_one(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """The rows, of which a packet's is megabytes, without a second copy of all."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
+def flat(parts: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The values in a column of packed arrays, one after another, copied once."""
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in parts])
+
+
+def known(h: np.ndarray, c: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entry (anchor, context, doc_id): the smallest doc_id of its context, and whether its anchor has several contexts. Sorted SLICE entries at a time, an anchor's all at once."""
+    out_least, out_several = np.empty(len(h), np.int64), np.empty(len(h), np.uint8)
+    slices = np.uint64(-(-len(h) // SLICE))
+    for k in range(int(slices)):
+        at = np.flatnonzero(h % slices == np.uint64(k))
+        if not len(at):
+            continue
+        order = at[np.lexsort((c[at], h[at]))]
+        hs, cs = h[order], c[order]
+        new_h = np.concatenate([[True], hs[1:] != hs[:-1]])
+        new = new_h | np.concatenate([[True], cs[1:] != cs[:-1]])
+        h_of = np.cumsum(new_h) - 1
+        out_least[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        out_several[order] = np.bincount(h_of[new])[h_of] > 1
+    return out_least, out_several
+
+
 def repeated_anchors(docs: DataFrame, buckets: int) -> np.ndarray:
     """A bitmap of the anchor hashes that several rows hold."""
     return repeated_filter(docs.select("text"), lambda batch: (np.unique(anchors(np.frombuffer(raw, np.uint8))[1]) for raw in raw_texts(batch)), buckets, FILTER_BITS)
@@ -154,7 +186,7 @@ def packets(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
         one.finish = finish
         return one
 
-    return materialise(arrow_pass(docs.select("doc_id", "text"), make, PACKED), "substring-packets")
+    return materialise(arrow_pass(docs.select("doc_id", "text"), make, PACKED), "substring-packets", large_rows=True)
 
 
 class Packet:
@@ -207,7 +239,7 @@ def first_answers(found: DataFrame, buckets: int) -> DataFrame:
 
     def make():
         def one(batch):
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 p = Packet(row)
                 dealt = by_bucket(p.pair_h, buckets)
                 cut = lambda x: [x[part].tobytes() for _, part in dealt]  # noqa: E731, B023
@@ -219,25 +251,15 @@ def first_answers(found: DataFrame, buckets: int) -> DataFrame:
     answer = pa.schema([("packet", pa.int64()), ("pairs", pa.binary()), ("least", pa.binary()), ("several", pa.binary()), ("n_several", pa.int64())])
 
     def reduce(group: pa.Table) -> pa.Table:
-        cols = one_table(group)
-        size = [len(x) // 8 for x in cols["h"]]
-        h, c = (np.concatenate([np.frombuffer(x, np.uint64) for x in cols[k]]) for k in ("h", "c"))
-        least = np.concatenate([np.frombuffer(x, np.int64) for x in cols["least"]])
-        order = np.lexsort((c, h))
-        hs, cs = h[order], c[order]
-        new_h = np.concatenate([[True], hs[1:] != hs[:-1]])
-        new = new_h | np.concatenate([[True], cs[1:] != cs[:-1]])
-        group_of, h_of = np.cumsum(new) - 1, np.cumsum(new_h) - 1
-        low = np.minimum.reduceat(least[order], np.flatnonzero(new))
-        kinds = np.bincount(h_of[new])
-        out_least, out_several = np.empty(len(h), np.int64), np.empty(len(h), np.uint8)
-        out_least[order], out_several[order] = low[group_of], kinds[h_of] > 1
+        size = [len(x.as_buffer()) // 8 for x in group["h"]]
+        least = flat(group["least"], np.int64)
+        out_least, out_several = known(flat(group["h"], np.uint64), flat(group["c"], np.uint64), least)
         keep = (out_least < least) | (out_several > 0)
-        pairs = np.concatenate([np.frombuffer(x, np.int32) for x in cols["pairs"]])
+        pairs = flat(group["pairs"], np.int32)
         ends = np.cumsum(size)
         cut = lambda x: [x[e - n : e][keep[e - n : e]] for e, n in zip(ends, size, strict=True)]
         several = cut(out_several)
-        return pa.Table.from_batches([record(answer, packet=cols["packet"], pairs=[x.tobytes() for x in cut(pairs)], least=[x.tobytes() for x in cut(out_least)], several=[x.tobytes() for x in several], n_several=[int(x.sum()) for x in several])])
+        return pa.Table.from_batches([record(answer, packet=group["packet"].to_pylist(), pairs=[x.tobytes() for x in cut(pairs)], least=[x.tobytes() for x in cut(out_least)], several=[x.tobytes() for x in several], n_several=[int(x.sum()) for x in several])])
 
     return materialise(entries.groupBy("bucket").applyInArrow(reduce, "packet long, pairs binary, least binary, several binary, n_several long"), "substring-answers")
 
@@ -256,7 +278,7 @@ def second_answers(found: DataFrame, answers: DataFrame) -> DataFrame:
 
     def ask(packet: pa.Table, answered: pa.Table) -> pa.Table:
         out = []
-        for row in packet.to_pylist():
+        for row in one_by_one(packet):
             p = Packet(row)
             got = one_table(answered)
             several = np.flatnonzero(gathered(got, "several", np.zeros(len(p.pair_h), np.uint8)))
@@ -271,10 +293,10 @@ def second_answers(found: DataFrame, answers: DataFrame) -> DataFrame:
     def reduce(group: pa.Table) -> pa.Table:
         from inkwell.llm.induced import string_minima
 
-        cols = one_table(group)
-        size = [len(x) // 8 for x in cols["least"]]
-        bytes_ = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, CONTEXT) for x in cols["context"]])
-        least = np.concatenate([np.frombuffer(x, np.int64) for x in cols["least"]])
+        cols = one_table(group.select(["packet", "pairs"]))
+        size = [len(x.as_buffer()) // 8 for x in group["least"]]
+        bytes_ = flat(group["context"], np.uint8).reshape(-1, CONTEXT)
+        least = flat(group["least"], np.int64)
         key = np.ascontiguousarray(bytes_).view(f"V{CONTEXT}").ravel()
         _, one, same = np.unique(key, return_index=True, return_inverse=True)
         owner = np.full(len(one), NOBODY)
@@ -301,7 +323,7 @@ def removed(found: DataFrame, answers: DataFrame, strings: DataFrame) -> DataFra
 
     def finish(packet: pa.Table, answered: pa.Table) -> pa.Table:
         out = []
-        for row in packet.to_pylist():
+        for row in one_by_one(packet):
             p = Packet(row)
             got = one_table(answered)
             plain = {k: [v for v, keep in zip(got[k], got["least"], strict=True) if keep is not None] for k in ("pairs", "least")}

@@ -1,6 +1,10 @@
 from pathlib import Path
 
-from inkwell.llm import common, jaccard
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from inkwell.llm import common, jaccard, substrings
 
 from .helpers import documents
 
@@ -63,3 +67,29 @@ def test_the_pipeline_lets_go_of_a_stage_before_the_next(spark, tmp_path, monkey
     monkeypatch.setattr(corpus_pipeline, "release", lambda spark: said.append("release"), raising=False)
     assert corpus_pipeline.run(spark, documents(spark, [(1, "x")], tmp_path)).count() == 1
     assert said == ["a", "release", "b", "release", "c"]
+
+
+def test_large_rows_lie_in_small_row_groups_and_batches(spark, tmp_path):
+    """A writer, a reader and a worker hold some megabytes of them, however many a task has."""
+    df = spark.range(0, 60, 1, 1).selectExpr("id", "array_join(transform(sequence(1, 8192), k -> sha2(concat(id, '-', k), 512)), '') AS body")
+    out = common.materialise(df, "large", large_rows=True)
+    groups = [g.row_group(k).total_byte_size for f in Path(out._inkwell_path.removeprefix("file:")).glob("*.parquet") for g in [pq.ParquetFile(f).metadata] for k in range(g.num_row_groups)]
+    assert len(groups) >= 3 and max(groups) < 3 * common.GROUP_BYTES  # of raw bytes
+    sizes = common.arrow_pass(out, lambda: lambda batch: [pa.record_batch({"n": pa.array([batch.nbytes], pa.int64())})], "n long")
+    assert max(r.n for r in sizes.collect()) < 1.5 * common.ARROW_BYTES
+
+
+def test_a_bucket_is_sorted_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    h, c, least = rng.integers(0, 40, 5000).astype(np.uint64), rng.integers(0, 3, 5000).astype(np.uint64), rng.integers(0, 10**6, 5000)
+    c[h < 9] = 1
+    sizes, sort = [], np.lexsort
+    monkeypatch.setattr(substrings, "SLICE", 600)
+    monkeypatch.setattr(substrings.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    low, several = substrings.known(h, c, least)
+    for k in range(40):
+        for x in range(3):
+            mine = (h == k) & (c == x)
+            if mine.any():
+                assert (low[mine] == least[mine].min()).all() and (several[mine] == (k >= 9)).all()
+    assert max(sizes) < 1200
