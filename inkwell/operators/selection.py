@@ -48,8 +48,9 @@ def exclusion_counts(d: Dialect) -> str:
 
 def first_selected(d: Dialect) -> str:
     """The first 20 eligible in search order, and how many were examined up to each."""
-    return cascade(d) + """, kept AS (SELECT doc_id, search_order, row_number() OVER (ORDER BY search_order) AS place FROM outcomes WHERE outcome = 'selected' ORDER BY search_order LIMIT 20)
-    SELECT k.doc_id, CAST(k.place AS BIGINT) AS selection_order, CAST(count(*) AS BIGINT) AS examined FROM kept k JOIN outcomes o ON o.search_order <= k.search_order GROUP BY k.doc_id, k.place"""
+    kept, examined = ("chosen", "candidates") if d.by_row("documents", "doc_id") else ("kept", "outcomes")  # a row's own kept sentences have that name; each candidate has one outcome then
+    return cascade(d) + f""", {kept} AS (SELECT doc_id, search_order, row_number() OVER (ORDER BY search_order) AS place FROM outcomes WHERE outcome = 'selected' ORDER BY search_order LIMIT 20)
+    SELECT k.doc_id, CAST(k.place AS BIGINT) AS selection_order, CAST(count(*) AS BIGINT) AS examined FROM {kept} k JOIN {examined} o ON o.search_order <= k.search_order GROUP BY k.doc_id, k.place"""
 
 
 def pooled(d: Dialect) -> str:
