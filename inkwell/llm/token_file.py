@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,19 @@ LONGEST = 20
 SHARD_IDS = 4_000_000
 BLOCK_IDS = 256_000
 CHECKPOINT_IDS = 64
-#: Entries that a worker's memories of chunks and of words hold at most; then they start anew.
+#: Entries that a worker's memories of chunks and of words hold at most; then the older half goes.
 CHUNKS, WORDS = 250_000, 400_000
 #: A text of these characters only is lower-cased and split here as the tokenizer would; others go through the whole of it.
 END_MARKS = (".", ",")
 PLAIN = "\t\n\r\x20-\x7e\xa1-\xac\xae-\xffŒœ"
 
 
+def forget(memory: dict) -> None:
+    """The older half of the entries; common ones soon are there again."""
+    for key in list(islice(memory, (len(memory) + 1) // 2)):
+        del memory[key]
+
+
 class Encoder:
     """The tokenizers library's ids of texts, as little-endian unsigned integers of 16 bits where all ids fit, else of 32.
 
@@ -49,6 +56,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
+        import re
 
         import public_tokenizers
         import regex
@@ -63,7 +71,7 @@ class Encoder:
         self.added = [t["content"] for t in settings["added_tokens"]]
         steps = settings["pre_tokenizer"]["pretokenizers"]
         self.words_of = regex.compile(steps[0]["pattern"]["Regex"]).findall
-        self.odd = regex.compile(f"[^{PLAIN}]").search
+        self.odd = re.compile(f"[^{PLAIN}]").search
         self.letters = dict(enumerate(byte_letters()))
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -78,18 +86,20 @@ class Encoder:
         found = self.words.get(w)
         if found is None:
             if len(self.words) >= WORDS:
-                self.words.clear()
+                forget(self.words)
             mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
             found = self.words[w] = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return found
 
-    def chunk(self, c: str) -> bytes:
+    def chunk(self, c: str, plain: bool) -> bytes:
         if c.isascii():
             if c.isalpha():
                 return self.word(c.lower())
             if c[-1:] in END_MARKS and c[:-1].isalpha():
                 return self.word(c[:-1].lower()) + self.word(c[-1])
-        return self.whole(c) if self.odd(c) else b"".join(map(self.word, self.words_of(c.lower())))
+        elif plain and c.isalpha():
+            return self.word(c.lower())
+        return b"".join(map(self.word, self.words_of(c.lower()))) if plain or not self.odd(c) else self.whole(c)
 
     def encode(self, text: str) -> bytes:
         if any(literal in text for literal in self.added):
@@ -99,11 +109,12 @@ class Encoder:
         new = set(parts).difference(chunks)
         if new:
             if len(chunks) + len(new) > CHUNKS:
-                chunks.clear()
-                new = set(parts)
-            of = self.chunk
+                while chunks and len(chunks) + len(new) > CHUNKS:
+                    forget(chunks)
+                new = set(parts).difference(chunks)
+            of, plain = self.chunk, not self.odd(text)
             for c in new:
-                chunks[c] = of(c)
+                chunks[c] = of(c, plain)
         return b"".join(map(chunks.__getitem__, parts))
 
 

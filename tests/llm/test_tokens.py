@@ -101,3 +101,14 @@ def test_workers_forget_what_their_task_does_not_ask_for():
     assert [common.begin(ask("a")), common.begin(ask("a")), common.begin(ask("b")), common.begin(ask("a"))] == ["a", "a", "b", "a"]
     assert made == ["a", "b", "a"]
     common.begin(lambda: None)
+
+
+def test_full_memories_keep_their_younger_half(monkeypatch):
+    monkeypatch.setattr(token_file, "CHUNKS", 40)
+    monkeypatch.setattr(token_file, "WORDS", 30)
+    small, fresh = token_file.Encoder(), token_file.Encoder().whole
+    for k in range(30):
+        text = f"The same words and Word{chr(97 + k % 26)}x, schön{chr(97 + k % 26)}ß w{k} don't {'日本 ' if k % 7 == 0 else ''}x{k}y. " * 2
+        assert small.encode(text) == fresh(text)
+        if k > 10:
+            assert 20 <= len(small.chunks) <= 40 and 15 <= len(small.words) <= 30
