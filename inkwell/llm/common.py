@@ -61,6 +61,11 @@ def materialise(df: DataFrame, label: str, large_rows: bool = False) -> DataFram
     return out
 
 
+def materialise_large(df: DataFrame, label: str) -> DataFrame:
+    """materialise() of large rows."""
+    return materialise(df, label, large_rows=True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what materialise() wrote, once nothing lazy reads it any more."""
     path = getattr(df, "_inkwell_path", None)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_pass, by_bucket, in_bitmap, materialise, mix64, record, release, repeated_filter, table, texts
+from inkwell.llm.common import arrow_pass, by_bucket, in_bitmap, materialise, materialise_large, mix64, record, release, repeated_filter, table, texts
 
 LENGTH, KEY = 50, 26
 #: Starts of strings around one anchor, and bytes of its context.
@@ -186,7 +186,7 @@ def packets(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
         one.finish = finish
         return one
 
-    return materialise(arrow_pass(docs.select("doc_id", "text"), make, PACKED), "substring-packets", large_rows=True)
+    return materialise_large(arrow_pass(docs.select("doc_id", "text"), make, PACKED), "substring-packets")
 
 
 class Packet:
